@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statflow.llm import mixing, pii, quality, simhash
+from statflow.llm import grouping, mixing, pii, quality, queries, simhash
 from statflow.plans.durable import materialize
 
 
@@ -28,11 +28,17 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return mixing.mix(docs)
 
 
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Each piece's place in the packed sequences."""
+    return grouping.pack(docs, queries.vocabulary())
+
+
 STAGES = [
     ("quality", quality_rules),
     ("simhash", simhash_dedup),
     ("pii", redact_pii),
     ("mix", mix_sources),
+    ("pack", pack_sequences),
 ]
 #: Fingerprints, the fitted span model and the packing are beyond SQL.
 ORACLE_SQL = None

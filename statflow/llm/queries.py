@@ -4,12 +4,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from statflow.llm import mixing, oracles, pii, quality, simhash
+from statflow.llm import ann, grouping, mixing, oracles, pii, quality, simhash
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def vocabulary(name: str = "word_bpe_49k.json") -> str:
+    """Path of a public vocabulary file."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op2_adaptive_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.rates(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -30,9 +41,13 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components(_table(spark, sf_dir, "documents"))
 
 
+def op8_grouped_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grouping.pack(_table(spark, sf_dir, "documents"), vocabulary())
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.detect(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op5_source_mixing, op6_quality_rules, op7_simhash, op10_pii, quality_ablation)}
+QUERIES = {f.__name__: f for f in (op2_adaptive_scan, op5_source_mixing, op6_quality_rules, op7_simhash, op8_grouped_packing, op10_pii, quality_ablation)}
 ORACLE_SQL: dict[str, str] = {"op5_source_mixing": oracles.OP5, "op6_quality_rules": oracles.OP6, "quality_ablation": oracles.ABLATION}
