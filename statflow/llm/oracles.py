@@ -73,3 +73,36 @@ SELECT policy, rule, count(*) AS n_docs, CAST(sum(CASE WHEN fail_mask & mask = 0
        CAST(sum(CASE WHEN fail_mask & mask & bit <> 0 THEN 1 ELSE 0 END) AS BIGINT) AS n_failed,
        CAST(sum(CASE WHEN fail_mask & mask = bit THEN 1 ELSE 0 END) AS BIGINT) AS n_only
 FROM led, p, r WHERE mask & bit <> 0 GROUP BY policy, rule"""
+
+
+_HOST = r"regexp_replace(lower(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)', 1)), '\.+$', '')"
+
+OP1 = rf"""
+WITH c AS (
+  SELECT row_number() OVER () AS rid, page_id, url, {_HOST} AS host, CAST(19723 + page_id * 7919 % 366 AS INTEGER) AS fetched_at,
+         list_filter(string_split(regexp_extract(coalesce(url, ''), '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1), '/'), lambda x: x <> '') AS path
+  FROM pages
+), h AS (
+  SELECT host, md5(host) AS d, 19723 + CAST('0x' || substr(md5(host), 2, 2) AS INTEGER) AS day
+  FROM (SELECT DISTINCT host FROM c WHERE host <> '') WHERE substr(md5(host), 1, 1) < '6'
+), e(key, n, rule, action, day_at) AS (
+  VALUES ('domain:spam-farm.example.org', 21, 'block', 'add', 19723), ('domain:example.net', 11, 'allow', 'add', 19800), ('domain:example.net', 11, 'allow', 'remove', 20000)
+  UNION ALL SELECT 'host:' || host, length(host), 'block', 'add', day FROM h
+  UNION ALL SELECT 'host:' || host, length(host), 'block', 'remove', day + 60 FROM h WHERE substr(d, 4, 1) < '8'
+  UNION ALL SELECT 'host:' || host, length(host), 'block', 'add', day + 120 FROM h WHERE substr(d, 5, 1) < '4'
+  UNION ALL SELECT 'prefix:' || host || '/en', length(host) + 3, 'allow', 'add', day + 30 FROM h WHERE substr(d, 6, 1) < '4'
+), i AS (
+  SELECT key, n, rule, action, day_at AS since, lead(day_at) OVER (PARTITION BY key, rule ORDER BY day_at, action DESC) AS until FROM e
+), labels AS (SELECT rid, host, string_split(host, '.') AS p, path FROM c WHERE host <> ''),
+k AS (
+  SELECT rid, 'host:' || host AS key FROM labels
+  UNION ALL SELECT rid, 'domain:' || array_to_string(p[j:], '.') FROM (SELECT rid, p, unnest(generate_series(1, len(p))) AS j FROM labels)
+  UNION ALL SELECT rid, 'prefix:' || host || '/' || array_to_string(path[:j], '/') FROM (SELECT rid, host, path, unnest(generate_series(1, len(path))) AS j FROM labels)
+), m AS (
+  SELECT c.rid, i.key, i.rule, i.since,
+         row_number() OVER (PARTITION BY c.rid ORDER BY i.n DESC, i.rule = 'block' DESC, i.key DESC, i.since DESC) AS best
+  FROM c JOIN k USING (rid) JOIN i USING (key) WHERE action = 'add' AND since <= fetched_at AND (until IS NULL OR fetched_at < until)
+)
+SELECT page_id, url, fetched_at, host, coalesce(m.key, '') AS matched, CAST(coalesce(m.since, -1) AS INTEGER) AS since, coalesce(m.rule <> 'block', true) AS kept
+FROM c LEFT JOIN m ON m.rid = c.rid AND m.best = 1
+"""
