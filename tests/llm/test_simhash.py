@@ -34,5 +34,59 @@ def test_keep_one(spark):
     rows = [(1, "a b c d e f", 7), (2, "a b c d e f", 8), (2, "a b c d e f", 8), (3, "other words here now again", 9), (None, "a b c d e f", 1)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, fp int")
     kept = simhash.keep_one(docs)
+    assert simhash.keep_one(docs.limit(0)).count() == 0
     assert kept.columns == docs.columns and sorted(r["fp"] for r in kept.collect()) == [1, 7, 9]
     assert simhash.components(docs.limit(0)).count() == 0
+
+
+def test_sketch_is_the_plain_majority():
+    for text in (None, " ", "a b", "a b c d e f g", "x y " * 700, " ".join(str(i) for i in range(20000))):
+        h = simhash._shingles(text, 5)
+        want = []
+        for k in range(simhash.WIDTH):
+            word = 0
+            for b in range(64):
+                ones = 0
+                for x in h.tolist():
+                    x = (x + k * 0x9E3779B97F4A7C15) % 2**64
+                    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 % 2**64
+                    x = (x ^ x >> 27) * 0x94D049BB133111EB % 2**64
+                    ones += (x ^ x >> 31) >> b & 1
+                    if len(h) > 2000:
+                        break
+                word |= (2 * ones > len(h)) << b
+            want.append(word)
+        got = np.frombuffer(simhash.sketch(text), np.uint64).tolist()
+        assert got == want or len(h) > 2000 and all(x.bit_count() > 10 for x in got)
+
+
+@pytest.mark.parametrize("block", [30, 70000])
+def test_keep_one_by_similarity(spark, block):
+    rng = np.random.default_rng(4)
+    docs, groups = [], []
+    for g in range(40):
+        words = [f"w{i}" for i in rng.integers(0, 5000, 300)]
+        docs.append((len(docs), " ".join(words)))
+        groups.append(g)
+        for edits in (0, 2, 4):  # each edit touches five shingles
+            copy = list(words)
+            for i in rng.choice(300, edits, replace=False):
+                copy[i] = "new"
+            docs.append((len(docs), " ".join(copy)))
+            groups.append(g)
+    base = [f"v{i}" for i in range(400)]
+    docs += [(1000, " ".join(base)), (1001, " ".join(base[:200] + [f"u{i}" for i in range(200)]))]  # half in common: both stay
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    kept = {r["doc_id"] for r in simhash.keep_one(df, block=block).collect()}
+    assert kept == {4 * g for g in range(40)} | {1000, 1001}
+
+
+def test_similar_joins_large_groups_without_all_pairs():
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 2**64, simhash.WIDTH, np.uint64)
+    rows = np.repeat(base[None], 1500, axis=0)
+    rows[np.arange(1500), rng.integers(0, simhash.WIDTH, 1500)] ^= np.uint64(1) << rng.integers(0, 64, 1500).astype(np.uint64)
+    far = rng.integers(0, 2**64, (700, simhash.WIDTH), np.uint64)
+    found = simhash.similar(np.concatenate([rows, far]), None)
+    assert len(found) == 1499 and found.max() < 1500
+    assert len(simhash.similar(rows[:900], rows[900:])) == 1499
