@@ -35,7 +35,7 @@ RULES = {
     "symbols": (2, lambda m: m("n_symbols") * 10 > m("n_words")),
     "short_words": (3, lambda m: m("word_chars") < m("n_words") * 2),
     "long_words": (4, lambda m: m("word_chars") > m("n_words") * 20),
-    "duplicate_lines": (5, lambda m: m("n_dup_lines") * 10 > m("n_lines") * 3),
+    "duplicate_lines": (5, lambda m: m("n_dup_lines") * 2 > m("n_lines")),
     "many_words": (6, lambda m: m("n_words") > 1_000_000),
 }
 BASE = ("few_words", "repeated_windows")
