@@ -160,6 +160,101 @@ def k_means(
     return KMeansModel(c.tolist(), it, done, p, m, low.tolist() if normalized else None, high.tolist() if normalized else None)
 
 
+@dataclass
+class MixedKMeansModel:
+    """Clusters over numbers and categories: centres, and per cluster and factor the levels' frequencies."""
+
+    centers: list[list[float]]
+    frequencies: list[list[list[float]]]  # cluster, factor, level
+    factors: list[str]
+    levels: list[list[str]]
+    p: float
+    iteration: int
+    converged: bool
+
+    def predict(self, df: DataFrame, cols: Sequence[str], output: str = "cluster") -> DataFrame:
+        """Adds the nearest cluster; null where a number is; an unknown level counts as never seen."""
+        c, f, p = np.array(self.centers), [np.array(x) for x in zip(*self.frequencies, strict=True)], self.p
+
+        @F.pandas_udf("int")
+        def nearest(v: pd.Series, q: pd.Series) -> pd.Series:
+            known = v.map(lambda x: x is not None and not np.isnan(np.asarray(x, float)).any()).to_numpy()
+            out = pd.Series([None] * len(v), dtype="Int32")
+            if known.any():
+                out[known] = _mixed(np.stack(v[known].to_numpy()).astype(float), np.stack(q[known].to_numpy()), c, f, p).argmin(axis=1)
+            return out
+
+        return df.withColumn(output, nearest(F.array(*[F.col(x).cast("double") for x in cols]), _codes(self.factors, self.levels)))
+
+
+def _codes(factors: Sequence[str], levels: Sequence[Sequence[str]]):
+    code = lambda c, lv: F.coalesce(F.array_position(F.array(*[F.lit(x) for x in lv]), F.col(c).cast("string")).cast("int") - 1, F.lit(-1))
+    return F.array(*[code(c, lv) for c, lv in zip(factors, levels, strict=True)])
+
+
+def _mixed(x: np.ndarray, q: np.ndarray, c: np.ndarray, f: list[np.ndarray], p: float) -> np.ndarray:
+    d = _distances(x, c, p)
+    for k, freq in enumerate(f):  # clusters x levels
+        share = np.where(q[:, k, None] >= 0, freq[:, np.maximum(q[:, k], 0)].T, 0.0)
+        d = d + (1 - share) ** p
+    return d
+
+
+def k_means_mixed(
+    df: DataFrame, cols: Sequence[str], factors: Sequence[str], k: int, p: float = 2.0, max_iter: int = 100, epsilon: float = 1e-6, centers: str | Sequence[Sequence[float]] = "k-means++", sample_size: int = 1000, seed: int = 42,
+) -> MixedKMeansModel:
+    """Hard k-means with categories: a level adds (1 - its frequency in the cluster)^p to the distance.
+    The first pass goes by numbers alone, which gives the first frequencies; stops by relative moves
+    of centres and moves of frequencies."""
+    if not factors or not cols or k < 1 or p <= 0:
+        raise ValueError("numbers, factors, k >= 1 and p > 0 are needed")
+    levels = []
+    for c in factors:
+        values = [r[0] for r in df.select(F.col(c).cast("string").alias("c")).where("c is not null").distinct().orderBy("c").limit(10_001).collect()]
+        if len(values) > 10_000:
+            raise ValueError(f"{c}: over 10 000 levels")
+        levels.append(values)
+    rows = df.dropna(subset=[*cols, *factors]).select(F.array(*[F.col(c).cast("double") for c in cols]).alias("v"), _codes(factors, levels).alias("q"))
+    if isinstance(centers, str):
+        sample = _stack(reservoir_sample(rows.select("v"), k if centers == "standard" else max(k, sample_size), seed).toPandas())
+        c = sample[:k] if centers == "standard" else plus_plus(sample, k, p, np.random.default_rng(seed))
+    else:
+        c = np.array(centers, float)
+    size, widths = len(cols), [len(x) for x in levels]
+    f = [np.zeros((k, w)) for w in widths]
+    done, it = False, 0
+    for it in range(1, max_iter + 1):
+        now, freq = c, f
+
+        def sums(batches):
+            out = np.zeros((k, 1 + size + sum(widths)))
+            for pdf in batches:
+                x, q = _stack(pdf), np.stack(pdf["q"].to_numpy())
+                at = _mixed(x, q, now, freq, p).argmin(axis=1)  # noqa: B023
+                np.add.at(out[:, 0], at, 1)
+                for j in range(size):
+                    np.add.at(out[:, 1 + j], at, x[:, j])
+                start = 1 + size
+                for j, w in enumerate(widths):
+                    np.add.at(out, (at, start + q[:, j]), 1)
+                    start += w
+            return out.ravel()
+
+        got = add_up(rows, sums)
+        if got is None:
+            raise ValueError("no complete rows")
+        got = got.reshape(k, -1)
+        n = got[:, :1]
+        c = np.where(n > 0, got[:, 1 : 1 + size] / np.maximum(n, 1), now)
+        cuts = np.cumsum([1 + size, *widths])
+        f = [np.where(n > 0, got[:, a:b] / np.maximum(n, 1), old) for a, b, old in zip(cuts[:-1], cuts[1:], freq, strict=True)]
+        moved = max((np.abs(c - now) / np.maximum(np.abs(now), 1e-12)).max(), *(np.abs(a - b).max() for a, b in zip(f, freq, strict=True)))
+        if it > 1 and moved <= epsilon:
+            done = True
+            break
+    return MixedKMeansModel(c.tolist(), [[x[i].tolist() for x in f] for i in range(k)], list(factors), levels, p, it, done)
+
+
 @dataclass
 class GMeansNode:
     center: list[float]

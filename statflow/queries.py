@@ -4,13 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from statflow.functions import arrays, links
 from statflow.models import forest, glm, kmeans, logistic, naive_bayes, tree
 from statflow.operators import aggregates as agg
-from statflow.operators import graph, pairs, quantile, transform
+from statflow.operators import custom, graph, pairs, quantile, transform
 from statflow.sources.binomial import binomial_source
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -37,6 +38,25 @@ def _round(df: DataFrame, **digits: int) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c).cast("double"), n) for c, n in digits.items()})
 
 
+class WeightedMean(custom.Aggregate):
+    """The mean of the second column weighted by the first: an example of a user's own aggregate."""
+
+    schema = "mean double"
+
+    def init(self):
+        return 0.0, 0.0
+
+    def add(self, state, batch):
+        w, x = batch.iloc[:, 0], batch.iloc[:, 1]
+        return state[0] + float(w.sum()), state[1] + float((w * x).sum())
+
+    def merge(self, a, b):
+        return a[0] + b[0], a[1] + b[1]
+
+    def finish(self, state):
+        return pd.DataFrame({"mean": [state[1] / state[0] if state[0] else None]})
+
+
 LINE = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
@@ -386,6 +406,18 @@ def kmeans_plus_plus(spark, sf_dir):
     return kmeans.k_means(df, "embedding", 10, max_iter=10, normalized=True).predict(df, "embedding").select("vec_id", "cluster")
 
 
+@query()
+def kmeans_mixed(spark, sf_dir):
+    df = _t(spark, sf_dir, "lineitem")
+    model = kmeans.k_means_mixed(df, ["l_quantity"], ["l_returnflag"], 3, max_iter=10, centers=[[10.0], [25.0], [40.0]])
+    return model.predict(df, ["l_quantity"]).groupBy("cluster", "l_returnflag").count()
+
+
+@query("SELECT l_returnflag, round(sum(l_quantity * l_extendedprice) / sum(l_quantity), 4) AS mean FROM lineitem GROUP BY l_returnflag")
+def custom_aggregate(spark, sf_dir):
+    return _round(custom.aggregate(_t(spark, sf_dir, "lineitem"), WeightedMean(), ["l_quantity", "l_extendedprice"], ["l_returnflag"]), mean=4)
+
+
 @query()
 def g_means(spark, sf_dir):
     root = kmeans.g_means(_t(spark, sf_dir, "lineitem").select("l_quantity", (F.col("l_extendedprice") / 1000).alias("price")), ["l_quantity", "price"], max_depth=3)

@@ -170,3 +170,23 @@ def test_streams(spark, tmp_path):
     want = {r["w"]: (r["n"], round(r["m"], 9)) for r in rows.groupBy(F.window("ts", "10 minutes").start.alias("w")).agg(F.count("v").alias("n"), F.avg("v").alias("m")).collect()}
     assert got == want and spark.table("h").agg(F.sum("count")).first()[0] == 480
     assert math.isclose(sum(c for c, _ in got.values()), 600)
+
+
+def test_kmeans_with_factors(blobs):
+    df = blobs.withColumn("f", F.when(F.rand(1) < 0.9, F.col("k")).otherwise("z"))
+    model = kmeans.k_means_mixed(df, ["x"], ["f"], 3, centers=[[0.0], [15.0], [-8.0]])
+    assert np.abs(np.array(sorted(model.centers))[:, 0] - [-10, 2.5, 19.1]).max() < 1 and model.converged
+    assert model.predict(df, ["x"]).groupBy("k", "cluster").count().count() <= 5
+    assert all(abs(sum(f) - 1) < 1e-9 for c in model.frequencies for f in c)
+
+
+def test_custom_aggregate_and_iteration(spark):
+    from statflow.operators.custom import aggregate, iterate
+    from statflow.queries import WeightedMean
+
+    df = spark.createDataFrame([("a", 1.0, 2.0), ("a", 3.0, 4.0), (None, 1.0, 7.0)], "k string, w double, x double").repartition(3)
+    assert {r["k"]: r["mean"] for r in aggregate(df, WeightedMean(), ["w", "x"], ["k"]).collect()} == {"a": 3.5, None: 7.0}
+    assert aggregate(df, WeightedMean(), ["w", "x"]).first()["mean"] == pytest.approx(21 / 5)
+    assert aggregate(df.limit(0), WeightedMean(), ["w", "x"]).first()["mean"] is None
+    out, passes, done = iterate(spark.range(4), lambda s, i: (s.select((F.col("id") + 1).alias("id")), i == 3))
+    assert passes == 3 and done and out.agg(F.sum("id")).first()[0] == 18
