@@ -43,7 +43,7 @@ CAPACITY = 2048
 SMALL = 16
 GROUPS = 64
 SPARE = 0
-BUCKET = 50_000
+BUCKET = 5_000
 END = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
