@@ -8,12 +8,15 @@ setting is absent (tests, notebooks) a folder of our own is used.
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 _own: str | None = None
+_written: list[str] = []
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
@@ -42,5 +45,21 @@ def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     readers load only the columns they use.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/statflow/{name}-{uuid.uuid4().hex}"
+    _written.append(path)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Deletes what ``materialize`` has written. DataFrames that still read it fail afterwards."""
+    while _written:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@atexit.register
+def _at_exit() -> None:
+    with contextlib.suppress(Exception):  # the JVM may be gone already
+        spark = SparkSession.getActiveSession()
+        if spark is not None:
+            release(spark)
