@@ -46,7 +46,7 @@ def _features(df: DataFrame, features: str | Sequence[str]) -> DataFrame:
 
 def random_forest(
     df: DataFrame, features: str | Sequence[str], response: str, num_trees: int = 20, classify: bool | None = None, max_depth: int = 10, min_sample: int = 100, node_epsilon: float = 0.0,
-    max_categories: int = 32, num_vars: int | str = 0, seed: int = 42,
+    max_categories: int = 32, num_vars: int | str = 0, seed: int = 42, bootstrap: bool = True,
 ) -> ForestModel:
     """``num_vars`` 0: the square root of the features. A string response is classified unless told otherwise."""
     if num_trees < 1 or not 1 <= max_depth <= 30:
@@ -64,12 +64,17 @@ def random_forest(
         label = F.col(response).cast("double")
     subset = "sqrt" if num_vars == 0 else str(num_vars)
     learner = (RandomForestClassifier if classify else RandomForestRegressor)(
-        featuresCol="__features", labelCol="__label", numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=min_sample, minInfoGain=node_epsilon, maxBins=max(2, max_categories), featureSubsetStrategy=subset, seed=seed
+        featuresCol="__features", labelCol="__label", numTrees=num_trees, maxDepth=max_depth, minInstancesPerNode=min_sample, minInfoGain=node_epsilon, maxBins=max(2, max_categories), featureSubsetStrategy=subset, seed=seed, bootstrap=bootstrap
     )
     data = _features(rows, features).select("__features", label.alias("__label"))
     return ForestModel(learner.fit(data), features if isinstance(features, str) else list(features), levels)
 
 
+def classification_tree(df: DataFrame, features: str | Sequence[str], response: str, max_depth: int = 5, min_sample: int = 2, max_categories: int = 32, seed: int = 42) -> ForestModel:
+    """A single tree of binary splits by gini gain: a forest of one that sees every row and feature."""
+    return random_forest(df, features, response, 1, True, max_depth, min_sample, 0.0, max_categories, "all", seed, bootstrap=False)
+
+
 def random_forest_batch(train: DataFrame, test: DataFrame, features: str | Sequence[str], response: str, extra: Sequence[str] = (), **args) -> DataFrame:
     """Trains on one gathered table and predicts another: extra columns, inputs, prediction."""
     names = [features] if isinstance(features, str) else list(features)

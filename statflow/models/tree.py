@@ -131,8 +131,9 @@ class RegressionTree:
     def to_json(self) -> str:
         return json.dumps({"discrete": self.discrete, "levels": self.levels, "splits": self.splits, "regressors": self.regressors, "root": self.root.as_dict()})
 
-    def predict(self, df: DataFrame, output: str = "prediction") -> DataFrame:
-        """Adds the leaf regression's value; null where an input is null. An unseen level goes right."""
+    def predict(self, df: DataFrame, output: str = "prediction", depth: int | None = None) -> DataFrame:
+        """Adds the leaf regression's value, or that of the node at ``depth``; null where an input is
+        null. An unseen level goes right."""
         root, k = self.root, len(self.splits) + len(self.regressors)
 
         @F.pandas_udf("double")
@@ -145,7 +146,7 @@ class RegressionTree:
                 y = np.zeros(len(x))
 
                 def walk(node: TreeNode, at: np.ndarray) -> None:
-                    if node.left is None:
+                    if node.left is None or node.depth == depth:
                         y[at] = node.intercept + x[at][:, len(self.splits) :] @ np.array(node.slopes)
                         return
                     left = _goes_left(node, x[at], d[at])

@@ -50,14 +50,19 @@ def binned_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float] = (
     ranks: dict[tuple[str, int], float] = {}
     todo = {(j[0], j[1]): j for j in jobs}
     for _ in range(max_passes):
-        for key, (c, r, lo, hi, below, inside) in list(todo.items()):
+        for key, (_, _, lo, hi, _, _) in list(todo.items()):
             if lo == hi:
                 ranks[key] = lo
                 del todo[key]
-            elif inside <= threshold:
-                rows = df.select(x[c].alias("x")).where(F.col("x").between(lo, hi)).orderBy("x").limit(inside).collect()
-                ranks[key] = rows[r - below]["x"]
-                del todo[key]
+        # Ranges that are small by now are read in one job: at most ``threshold`` values each.
+        small = [k for k, job in todo.items() if job[5] <= threshold]
+        if small:
+            taken = [F.when(x[todo[k][0]].between(todo[k][2], todo[k][3]), F.struct(F.lit(n).alias("k"), x[todo[k][0]].alias("x"))) for n, k in enumerate(small)]
+            values: dict[int, list[float]] = {}
+            for r in df.select(F.explode(F.array(*taken)).alias("p")).where("p is not null").select("p.k", "p.x").collect():
+                values.setdefault(r["k"], []).append(r["x"])
+            for n, k in enumerate(small):
+                ranks[k] = sorted(values[n])[k[1] - todo.pop(k)[4]]
         if not todo:
             break
         parts = []

@@ -437,6 +437,12 @@ def random_forest_classify(spark, sf_dir):
     return forest.random_forest(df, "embedding", "label", num_trees=10, max_depth=5, min_sample=1).predict(df).select("vec_id", "label", "prediction")
 
 
+@query()
+def classification_tree(spark, sf_dir):
+    df = _t(spark, sf_dir, "lineitem")
+    return forest.classification_tree(df, ["l_quantity", "l_discount"], "l_returnflag").predict(df).groupBy("l_returnflag", "prediction").count()
+
+
 @query()
 def random_forest_batch(spark, sf_dir):
     df = _t(spark, sf_dir, "lineitem")

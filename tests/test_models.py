@@ -125,6 +125,15 @@ def test_tree_finds_a_planted_break(spark, split):
     assert len(straight.root.leaves()) == 1 and straight.root.slopes[0] == pytest.approx(2, abs=0.05)
 
 
+def test_classification_tree_and_depth_cut(spark, blobs):
+    model = forest.classification_tree(blobs, ["x", "y"], "k")
+    assert model.predict(blobs).where("prediction = k").count() > 1190
+    df = spark.createDataFrame([(float(i), float(i if i < 50 else 200 - i)) for i in range(100)], "x double, y double")
+    fit = tree.decision_tree(df, "y", ["x"], max_depth=2)
+    flat = fit.predict(df, depth=0).select("x", "prediction").orderBy("x").collect()
+    assert flat[10][1] == pytest.approx(fit.root.intercept + 10 * fit.root.slopes[0])
+
+
 def test_split_maths():
     assert tree.gini_gain(0.5, 0.5, 0.5) == 0.5 and tree.gini_gain(0.5, 0.5, 0.25) == 0
     gain, left = tree.discrete_split(np.array([[10.0, 0], [0, 10], [9, 1], [0, 0]]))
