@@ -105,9 +105,9 @@ def pack_rows(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACIT
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode, held, size = rank_encoding(ranks, pattern).encode_ordinary, [], 0
         for pdf in batches:
-            for i, t in zip(pdf["doc_id"].tolist(), pdf["text"], strict=True):
+            for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):  # ids as text: pandas has no long with nulls
                 ids = np.array([*encode(t or ""), END], "<u2")
-                i = None if i is None or i != i else int(i)
+                i = None if i is None else int(i)
                 held += [(i, k, ids[at : at + capacity]) for k, at in enumerate(range(0, len(ids), capacity))]
                 size += len(ids)
                 if size >= shard:
@@ -116,4 +116,4 @@ def pack_rows(docs: DataFrame, ranks: str, pattern: str, capacity: int = CAPACIT
         if held:
             yield _emit(held, capacity)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(pack, ROWS)
+    return docs.select(F.col(doc_id).cast("long").cast("string").alias("doc_id"), F.col(text).alias("text")).mapInPandas(pack, ROWS)

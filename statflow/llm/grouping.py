@@ -29,7 +29,6 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -51,20 +50,18 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece: PIECES, and ids (little-endian unsigned 32-bit) with ``with_ids``."""
     width = capacity * 4
+    kind = "array<struct<" + ", ".join(c.replace(" ", ":") for c in PIECES.split(", ")[1:]) + (", ids:binary" if with_ids else "") + ">>"
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = word_tokenizer(vocabulary).encode
-        for pdf in batches:
-            rows = []
-            for i, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                ids = encode(t or "") + END.to_bytes(4, "little")
-                for k, at in enumerate(range(0, len(ids), width)):
-                    part = ids[at : at + width]
-                    rows.append((i, k, at // 4, len(part) // 4, zlib.crc32(part), *([part] if with_ids else [])))
-            out = pd.DataFrame(rows, columns=["doc_id", "piece", "start", "length", "ids_crc32", *(["ids"] if with_ids else [])])
-            yield out.astype({"doc_id": "Int64"})
+    @F.pandas_udf(kind)
+    def cut(texts: pd.Series) -> pd.Series:
+        encode, out = word_tokenizer(vocabulary).encode, []
+        for t in texts:
+            ids = encode(t or "") + END.to_bytes(4, "little")
+            parts = [ids[at : at + width] for at in range(0, len(ids), width)]
+            out.append([(k, k * capacity, len(p) // 4, zlib.crc32(p), *([p] if with_ids else [])) for k, p in enumerate(parts)])
+        return pd.Series(out)
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInPandas(cut, PIECES + (", ids binary" if with_ids else ""))
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.inline(cut(F.col(text))))
 
 
 def _price(sizes: np.ndarray, values: np.ndarray, capacity: int) -> tuple[float, np.ndarray]:
@@ -235,17 +232,14 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     slots, _ = plan(counts, capacity)
     keys = slots[:, 0] << 44 | slots[:, 1]
 
-    def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            rank = pdf["rank"].to_numpy()
-            at = np.searchsorted(keys, pdf["length"].to_numpy() << 44 | rank, side="right") - 1
-            out = pdf.drop(columns="rank").astype({"doc_id": "Int64"})
-            out["sequence_id"] = slots[at, 3] + rank - slots[at, 1]
-            out["offset"] = slots[at, 4]
-            yield out
+    @F.pandas_udf("sequence_id long, offset long")
+    def look(length: pd.Series, rank: pd.Series) -> pd.DataFrame:
+        rank = rank.to_numpy()
+        at = np.searchsorted(keys, length.to_numpy() << 44 | rank, side="right") - 1
+        return pd.DataFrame({"sequence_id": slots[at, 3] + rank - slots[at, 1], "offset": slots[at, 4]})
 
     names = [c.split()[0] for c in PIECES.split(", ")]
-    return ranked(cut).select(*names, "rank").mapInPandas(look, PIECES + ", sequence_id long, offset long")
+    return ranked(cut).select(*names, look("length", "rank").alias("at")).select(*names, "at.sequence_id", "at.offset")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:

@@ -199,10 +199,9 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", html
     found = F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1))
     joined = join_lookup(base.withColumn("host", found), votes(base), "host", "page_id")
 
-    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            texts = [extract(h, p) for h, p in zip(pdf["html"], pdf["path"], strict=True)]
-            yield pd.DataFrame({"page_id": pdf["page_id"], "url": pdf["url"], "text": texts, "n_chars": [len(t) for t in texts]})
+    @F.pandas_udf("string")
+    def read(html: pd.Series, path: pd.Series) -> pd.Series:
+        return pd.Series([extract(h, p) for h, p in zip(html, path, strict=True)], dtype=object)
 
-    kinds = dict(base.dtypes)
-    return joined.select("page_id", "url", "html", "path").mapInPandas(read, f"page_id {kinds['page_id']}, url string, text string, n_chars long")
+    texts = joined.select("page_id", "url", read("html", "path").alias("text"))
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))

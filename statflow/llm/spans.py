@@ -22,7 +22,6 @@ gives no rows; extra columns are not carried by ``remove_repeats``.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,13 +54,16 @@ def sentences(text: str, longest: int = LONGEST) -> list[str]:
     return out
 
 
-def spans(text: str, least: int = LEAST) -> list[tuple[int, int, int]]:
-    """(hash, first sentence, last sentence) of each span."""
+def spans(text: str | None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash, first sentence, last sentence of each span."""
+    none = np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros(0, np.int32)
+    if not text:
+        return none
     parts = [s.lower().split() for s in sentences(text)]
     counts = np.array([len(p) for p in parts], np.int64)
     upto = np.concatenate([[0], np.cumsum(counts)])
     if upto[-1] < least:
-        return []
+        return none
     flat = [w for p in parts for w in p]
     joined = " ".join(flat).encode("utf-8", "surrogatepass")
     ends = np.cumsum([len(w.encode("utf-8", "surrogatepass")) + 1 for w in flat])
@@ -78,26 +80,19 @@ def spans(text: str, least: int = LEAST) -> list[tuple[int, int, int]]:
     pairs = np.unique(np.stack([np.concatenate([a, c]), np.concatenate([b, d])]), axis=1)
     h = xxhash.xxh64_intdigest
     lo, hi = starts[first[pairs[0]]].tolist(), (starts[last[pairs[1]]] - 1).tolist()
-    return [(h(joined[x:y]), int(i), int(j)) for x, y, i, j in zip(lo, hi, real[pairs[0]].tolist(), real[pairs[1]].tolist(), strict=True)]
+    hashes = np.array([h(joined[x:y]) for x, y in zip(lo, hi, strict=True)], np.uint64).view(np.int64)
+    return hashes, real[pairs[0]].astype(np.int32), real[pairs[1]].astype(np.int32)
 
 
 def all_spans(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, h, i, j: one row per span."""
 
-    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            ids, hs, ii, jj = [], [], [], []
-            for d, t in zip(pdf["doc_id"], pdf["text"], strict=True):
-                if t:
-                    for h, i, j in spans(t, least):
-                        ids.append(d)
-                        hs.append(h)
-                        ii.append(i)
-                        jj.append(j)
-            yield pd.DataFrame({"doc_id": np.array(ids, np.int64), "h": np.array(hs, np.uint64).view(np.int64), "i": np.array(ii, np.int32), "j": np.array(jj, np.int32)})
+    @F.pandas_udf("h array<long>, i array<int>, j array<int>")
+    def cut(texts: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([spans(t, least) for t in texts], columns=["h", "i", "j"])
 
-    rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null")
-    return rows.mapInPandas(cut, "doc_id long, h long, i int, j int")
+    rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), cut(F.col(text)).alias("s"))
+    return rows.select("doc_id", F.inline(F.arrays_zip("s.h", "s.i", "s.j"))).toDF("doc_id", "h", "i", "j")
 
 
 def repeats(found: DataFrame) -> DataFrame:
@@ -121,18 +116,17 @@ def remove_repeats(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id",
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     joined = rows.join(removals, "doc_id", "left").select("doc_id", "text", F.col("cut.i").alias("lo"), F.col("cut.j").alias("hi"))
 
-    def keep(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            out = []
-            for d, t, lo, hi in zip(pdf["doc_id"], pdf["text"], pdf["lo"], pdf["hi"], strict=True):
-                parts = sentences(t) if t else []
-                gone = np.zeros(len(parts) + 1, np.int64)
-                if lo is not None and len(parts):
-                    np.add.at(gone, np.asarray(lo), 1)
-                    np.add.at(gone, np.asarray(hi) + 1, -1)
-                gone = np.cumsum(gone)[:-1] > 0
-                left = "".join(p for p, g in zip(parts, gone, strict=True) if not g) if gone.any() else t
-                out.append((d, len(parts), int(gone.sum()), left))
-            yield pd.DataFrame(out, columns=["doc_id", "n_sentences", "n_removed", "text"]).astype({"doc_id": "Int64"})
-
-    return joined.mapInPandas(keep, "doc_id long, n_sentences long, n_removed long, text string")
+    @F.pandas_udf("n_sentences long, n_removed long, text string")
+    def keep(texts: pd.Series, los: pd.Series, his: pd.Series) -> pd.DataFrame:
+        out = []
+        for t, lo, hi in zip(texts, los, his, strict=True):
+            parts = sentences(t) if t else []
+            gone = np.zeros(len(parts) + 1, np.int64)
+            if lo is not None and len(parts):
+                np.add.at(gone, np.asarray(lo), 1)
+                np.add.at(gone, np.asarray(hi) + 1, -1)
+            gone = np.cumsum(gone)[:-1] > 0
+            out.append((len(parts), int(gone.sum()), "".join(p for p, g in zip(parts, gone, strict=True) if not g) if gone.any() else t))
+        return pd.DataFrame(out, columns=["n_sentences", "n_removed", "text"])
+
+    return joined.select("doc_id", keep("text", "lo", "hi").alias("k")).select("doc_id", "k.*")

@@ -91,6 +91,18 @@ def test_sequences_round_trip(spark, tokenizer):
     assert {d: sum(n) for d, n in got.items()} == {i: len(tokenizer.encode(t or "")) // 4 + 1 for i, t in enumerate(ODD)}
 
 
+def test_null_and_large_ids(spark):
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(None, "a b"), (big, "a b c"), (None, None)], "doc_id long, text string").repartition(1)
+    assert sorted(str(r["doc_id"]) for r in grouping.pack(docs, vocabulary(), 16).collect()) == sorted(["None", str(big), "None"])
+    import public_tokenizers
+
+    from statflow.llm import binpack
+
+    rows = binpack.pack_rows(docs, vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN).collect()
+    assert sorted(map(str, rows[0]["doc_ids"])) == sorted(["None", str(big), "None"])
+
+
 def test_repeated_rows_and_hot_length(spark):
     docs = spark.createDataFrame([(1, "a b c", 5)] * 40 + [(i, "d e f g", 1) for i in range(60)], "doc_id long, text string, piece int")
     rows = grouping.pack(docs, vocabulary(), 16).collect()
