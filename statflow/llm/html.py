@@ -42,13 +42,14 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CONTAINERS = frozenset("html body main article section div td th table tbody tr center blockquote header footer nav aside form fieldset figure dialog details menu dl ul ol".split())
 _BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address hr br figcaption summary caption option legend head thead tfoot".split())
+_VOID = frozenset("img input meta link source track wbr area base col embed param".split())
 _CANDIDATES = frozenset("body main article section div td center blockquote".split())
 _JUNK_TAGS = frozenset("nav footer aside form header dialog menu fieldset head".split())
 _JUNK = re.compile(
-    r"(?:^|[^a-z])(?:ads?|advert\w*|adbox|adsense|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|banner|sidebar|side-bar|widget|menu|navbar|nav|navigation|breadcrumbs?|footer|header|masthead|"
-    r"comments?|commentlist|disqus|repl(?:y|ies)|respond|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|overlay|alert|form|search|pagination|pager|toolbar|copyright|hidden)(?:$|[^a-z])"
+    r"(?:^|[^a-z])(?:ads?|advert\w*|ad-?(?:box|slot|unit|container|wrapper)|adsense|adsbygoogle|sponsor\w*|promo\w*|outbrain|taboola|cookies?|consent|gdpr|notices?|disclaimer|paywall|banner|complementary|contentinfo|skip|sidebar|side-bar|widget|menu|navbar|nav|navigation|breadcrumbs?|footer|header|masthead|"
+    r"comments?|comment-?list|disqus|discussion|feedback|repl(?:y|ies)|respond|responses|share|sharing|social|related|recommended|newsletter|subscribe|signup|popup|modal|overlay|alert|form|search|pagination|pager|toolbar|copyright|hidden)(?:$|[^a-z])"
 )
-_ABOUT = re.compile(r"(?:has|with|no|without)[-_]")  # says what an element holds or lacks, not what it is
+_ABOUT = re.compile(r"(?:^|[-_])(?:has|with|no|without)[-_]")  # says what an element holds or lacks, not what it is
 _KEEP = frozenset(("article", "main"))
 
 
@@ -64,7 +65,7 @@ def _step(tag: str, attrs: str) -> tuple[str, bool]:
         for name, a, b, c in _ATTR.findall(attrs):
             name, value = name.lower(), (a or b or c).lower()
             if name in ("class", "id", "role"):
-                junk = junk or tag not in ("html", "body", "main", "article") and any(_JUNK.search(x) for x in value.split() if not _ABOUT.match(x))
+                junk = junk or tag not in ("html", "body", "main", "article") and any(_JUNK.search(x) for x in value.split() if not _ABOUT.search(x))
                 if name == "class" and value.strip():
                     names = "." + ".".join(sorted(re.sub(r"\d+", "#", x) for x in value.split()))
             elif name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
@@ -81,6 +82,7 @@ class Page:
         stack: list[tuple[str, int, bool]] = [("", 0, False)]
         parts: list[str] = []
         linked, link = 0, False
+        skip, depth = "", 0  # an inline element that is boilerplate, and how often its tag is open
         at = 0
 
         def close() -> None:
@@ -94,6 +96,8 @@ class Page:
 
         def add(text: str) -> None:
             nonlocal linked
+            if skip:
+                return
             parts.append(text)
             if link:
                 linked += len(text)
@@ -103,10 +107,16 @@ class Page:
                 add(source[at : m.start()])
             at = m.end()
             tag = (m[3] or "").lower()
-            if tag == "a":
+            if skip and tag == skip:
+                depth += -1 if m[2] else 1
+                skip = skip if depth else ""
+            elif tag and not m[2] and m[4] and tag not in _CONTAINERS and tag not in _BLOCKS and tag not in _VOID and not skip and _step(tag, m[4])[1]:
+                skip, depth = tag, 1
+            elif tag == "a":
                 link = not m[2]
             elif tag in _CONTAINERS:
                 close()
+                skip = ""
                 link = False
                 if m[2]:
                     for i in range(len(stack) - 1, 0, -1):
@@ -127,7 +137,7 @@ class Page:
             elif tag in _BLOCKS:
                 close()
                 if tag != "br":
-                    link = False
+                    link, skip = False, ""
                 if not m[2] and tag != "br" and stack[-1][0] in _BLOCKS and stack[-1][0] != "head":
                     stack.pop()  # a block ends where the next begins
                 if tag == "head":
@@ -160,7 +170,11 @@ class Page:
                 up = self.parent[up]
             if up > 0:
                 score[up] = score.get(up, 0.0) + worth / 2
-        return max(score, key=lambda e: (score[e], -e)) if score else 0
+        top = max(score, key=lambda e: (score[e], -e)) if score else 0
+        up = top
+        while up > 0 and not self.path[up].rpartition(">")[2].split(".")[0] == "article":
+            up = self.parent[up]
+        return up if up > 0 else top  # a part of an article stands for the whole
 
     def text(self, roots: set[int]) -> str:
         inside: dict[int, bool] = {-1: False}

@@ -107,11 +107,11 @@ def test_best_fit_is_best_fit():
 PAGE = """<!DOCTYPE html><html><head><title>T &amp; t</title><style>p{a:b}</style><script>var x = "<p>no</p>";</script></head><body class="home no-sidebar">
 <header><h1>Site</h1></header><nav><ul><li><a href=/>Home</a></ul></nav><div class="cookie-notice">We use cookies</div>
 <div id="wrap7"><div class="ad">Buy <b>now</b></div><article class="post-12"><header><h2>Head&shy;line &lt;1&gt;</h2></header><p>First  <b>bold <i>para</i>
-graph</b><br><p class="lead">Second &eacute;&#233;&nbsp;x<p>Third with <a href="#">a link</a>.<div class="share">Share me</div><!-- <p>hidden</p> --><ul><li>one<li>two</ul>
-<form><input><p>Mail us</p></form><p class="advert">Ad<p>Last 1 < 2</article>
+graph</b><br><p class="lead">Sec<ins class="adsbygoogle">Buy <ins>it</ins></ins>ond<img class="ad"> &eacute;&#233;&nbsp;x<p>Third with <a href="#">a link</a>.<div class="share">Share me</div><!-- <p>hidden</p> --><ul><li>one<li>two</ul>
+<form><input><p>Mail us</p></form><p class="advert">Ad<p>La<span class="ad-slot">unclosed<p>Last 1 < 2</article>
 <section class="comments"><p>A reader wrote a rather long comment that goes on and on and on, longer than any paragraph there is, really, and then some more of it.</p></section>
 <aside><p>Side</p></aside></div><footer>&copy; me</footer></body></html>"""
-TEXT = "Head­line <1>\nFirst bold para graph\nSecond éé x\nThird with a link.\none\ntwo\nLast 1 < 2"
+TEXT = "Head­line <1>\nFirst bold para graph\nSecond éé x\nThird with a link.\none\ntwo\nLa\nLast 1 < 2"
 
 
 def test_page():
