@@ -361,7 +361,20 @@ def naive_bayes_table(spark, sf_dir):
     return _round(naive_bayes.naive_bayes(_t(spark, sf_dir, "lineitem"), "l_returnflag", _NB_COLS, ["l_linestatus"], 10, 1.5).table, joint=8, conditional=8)
 
 
-@query()
+_NB_LEVEL = "CAST(CASE WHEN {0} < lo_{0} THEN -1 WHEN {0} > hi_{0} THEN 10 ELSE least(9, CAST(floor(({0} - lo_{0}) / ((hi_{0} - lo_{0}) / 10)) AS INTEGER)) END AS VARCHAR)"
+_NB_PREDICT = """WITH s AS (SELECT {ranges} FROM lineitem), p AS MATERIALIZED (SELECT row_number() OVER () AS id, l_returnflag AS class, {levels}, l_linestatus AS v2 FROM lineitem, s),
+n AS (SELECT class, count(*) AS n FROM p GROUP BY class), {counts},
+d AS (SELECT p.id, p.class AS actual, n.class, ln(n.n / (SELECT count(*) FROM p)) + ln((coalesce(t0.c, 0) + 1) / (n.n + 12)) + ln((coalesce(t1.c, 0) + 1) / (n.n + 12)) + ln((coalesce(t2.c, 0) + 1) / (n.n + (SELECT count(DISTINCT v2) FROM p))) AS score
+  FROM p CROSS JOIN n {joins})
+SELECT actual AS l_returnflag, class AS prediction, count(*) AS count FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, class) AS r FROM d) WHERE r = 1 GROUP BY ALL""".format(
+    ranges=", ".join(f"greatest(avg({c}) - stddev_pop({c}) * 3.0, min({c})) AS lo_{c}, least(avg({c}) + stddev_pop({c}) * 3.0, max({c})) AS hi_{c}" for c in _NB_COLS),
+    levels=", ".join(f"{_NB_LEVEL.format(c)} AS v{i}" for i, c in enumerate(_NB_COLS)),
+    counts=", ".join(f"t{i} AS (SELECT class, v{i} AS v, count(*) AS c FROM p GROUP BY ALL)" for i in range(3)),
+    joins=" ".join(f"LEFT JOIN t{i} ON t{i}.class = n.class AND t{i}.v = p.v{i}" for i in range(3)),
+)
+
+
+@query(_NB_PREDICT)
 def naive_bayes_predict(spark, sf_dir):
     df = _t(spark, sf_dir, "lineitem")
     return naive_bayes.naive_bayes(df, "l_returnflag", _NB_COLS, ["l_linestatus"]).predict(df).groupBy("l_returnflag", "prediction").count()
@@ -406,10 +419,21 @@ def kmeans_plus_plus(spark, sf_dir):
     return kmeans.k_means(df, "embedding", 10, max_iter=10, normalized=True).predict(df, "embedding").select("vec_id", "cluster")
 
 
-@query()
+def _mixed_sql(passes: int) -> str:
+    parts = ["p AS MATERIALIZED (SELECT row_number() OVER () AS id, l_quantity AS x, l_returnflag AS v FROM lineitem)"]
+    parts.append("c0(k, a) AS MATERIALIZED (VALUES (0, 10.0::DOUBLE), (1, 25.0::DOUBLE), (2, 40.0::DOUBLE)), f0 AS (SELECT 0 AS k, '' AS v, 0.0::DOUBLE AS f)")
+    for i in range(passes + 1):
+        d = f"SELECT p.id, p.x, p.v, c.k, (p.x - c.a) * (p.x - c.a) + (1 - coalesce(f, 0)) * (1 - coalesce(f, 0)) AS d FROM p CROSS JOIN c{i} c LEFT JOIN f{i} f ON f.k = c.k AND f.v = p.v"
+        parts.append(f"w{i} AS MATERIALIZED (SELECT k, x, v FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, k) AS r FROM ({d})) WHERE r = 1)")
+        parts.append(f"c{i + 1} AS MATERIALIZED (SELECT k, avg(x) AS a FROM w{i} GROUP BY k)")
+        parts.append(f"f{i + 1} AS MATERIALIZED (SELECT k, v, count(*) / any_value(n) AS f FROM w{i} JOIN (SELECT k, count(*) AS n FROM w{i} GROUP BY k) USING (k) GROUP BY k, v)")
+    return f"WITH {', '.join(parts)} SELECT CAST(k AS INTEGER) AS cluster, v AS l_returnflag, count(*) AS count FROM w{passes} GROUP BY ALL"
+
+
+@query(_mixed_sql(10))
 def kmeans_mixed(spark, sf_dir):
     df = _t(spark, sf_dir, "lineitem")
-    model = kmeans.k_means_mixed(df, ["l_quantity"], ["l_returnflag"], 3, max_iter=10, centers=[[10.0], [25.0], [40.0]])
+    model = kmeans.k_means_mixed(df, ["l_quantity"], ["l_returnflag"], 3, max_iter=10, epsilon=0.0, centers=[[10.0], [25.0], [40.0]])
     return model.predict(df, ["l_quantity"]).groupBy("cluster", "l_returnflag").count()
 
 
