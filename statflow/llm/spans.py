@@ -1,7 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
 A text is cut into sentences: stretches up to a mark (. ! ? , ; :) or a line
-feed, of at most LONGEST words. A span is a run of several consecutive
+feed. Those of over LONGEST words are cut further, after every word whose digest
+is divisible by CUT, so that the cuts inside a passage do not depend on where it
+begins. A span is a run of several consecutive
 sentences: from each sentence on, and back from each sentence, the shortest
 run of two or more with at least LEAST words. Inside any passage that repeats,
 these runs cover all its whole sentences, and none is so short that it repeats
@@ -22,6 +24,7 @@ gives no rows; extra columns are not carried by ``remove_repeats``.
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -33,6 +36,7 @@ from statflow.plans.durable import materialize
 
 LEAST = 16
 LONGEST = 20
+CUT = 8
 SHARE = 1000
 _UNIT = re.compile(r"[^.!?,;:\n]*+(?:[.!?,;:\n]++\s*+|\Z)")
 _WORD = re.compile(r"\S+\s*+")
@@ -47,10 +51,14 @@ def sentences(text: str, longest: int = LONGEST) -> list[str]:
                 out.append(unit)
             continue
         lead = unit[: len(unit) - len(unit.lstrip())]
-        parts = _WORD.findall(unit)
-        cut = ["".join(parts[i : i + longest]) for i in range(0, len(parts), longest)] or [""]
-        cut[0] = lead + cut[0]
-        out += [x for x in cut if x]
+        part = lead
+        for word in _WORD.findall(unit):
+            part += word
+            if crc32(word.strip().lower().encode("utf-8", "surrogatepass")) % CUT == 0:
+                out.append(part)
+                part = ""
+        if part:
+            out.append(part)
     return out
 
 
