@@ -27,6 +27,7 @@ from __future__ import annotations
 import html as _html
 import re
 from collections.abc import Iterator
+from hashlib import md5
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -39,6 +40,10 @@ _TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/a-zA-Z][^>]*+>|<[!?][^>]*+(?:>|\Z)",
     re.S | re.I,
 )
+LONG_PATH = 500
+_RAW = "script|style|noscript|template|textarea|title|iframe|svg|select|object|button"
+_OPEN = re.compile(rf"<!--|<(?:{_RAW})\b[^>]*+>", re.I)
+_CLOSED = re.compile(rf"</(?:{_RAW})\s*+>\Z", re.I)
 _ATTR = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _CONTAINERS = frozenset("html body main article section div td th table tbody tr center blockquote header footer nav aside form fieldset figure dialog details menu dl ul ol".split())
 _BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd pre address hr br figcaption summary caption option legend head thead tfoot".split())
@@ -102,7 +107,11 @@ class Page:
             if link:
                 linked += len(text)
 
-        for m in _TOKEN.finditer(source):
+        # No tag ends after the last ">": text from there on is read as such, up to what an open comment or script hides.
+        stop = source.rfind(">") + 1
+        hidden = _OPEN.search(source, stop)
+        tail = source[stop : hidden.start()] if hidden else source[stop:]
+        for m in _TOKEN.finditer(source, 0, stop):
             if m.start() > at:
                 add(source[at : m.start()])
             at = m.end()
@@ -131,7 +140,10 @@ class Page:
                     if tag == "header" and any(s[0] in _KEEP for s in stack):
                         junk = False
                     self.parent.append(up)
-                    self.path.append(f"{self.path[up]}>{step}" if self.path[up] else step)
+                    path = self.path[up]
+                    if len(path) > LONG_PATH:  # deep nesting: its digest stands for the outer part
+                        path = "#" + md5(path.encode("utf-8", "replace")).hexdigest()
+                    self.path.append(f"{path}>{step}" if path else step)
                     self.candidate.append(tag in _CANDIDATES)
                     stack.append((tag, len(self.parent) - 1, bad or junk))
             elif tag in _BLOCKS:
@@ -153,8 +165,9 @@ class Page:
                     stack.pop()
             if m[3] and tag == "body" and not m[2]:
                 stack[:] = [s for s in stack if s[0] != "head"]
-        if at < len(source):
-            add(source[at:])
+            if not m[3] and at == stop and not m[0].endswith("-->") and not (m[1] and _CLOSED.search(m[0])) and _OPEN.match(m[0]):
+                tail = ""  # the last comment or script never ends
+        add(source[at:stop] + tail)
         close()
 
     def best(self) -> int:

@@ -125,6 +125,21 @@ def test_page():
     assert best.endswith("article.post-#") and html.extract(PAGE, best) == html.extract(PAGE, None) == html.extract(PAGE, "no>such") == TEXT
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("a<!-- b", "a"), ("a<!-- b > c", "a"), ("<p>a</p>b<script>c", "b"), ("<p>a<script>x > y", "a"), ("a < b > c", "a < b > c"), ("<p>x</p> 1 <2", "1 <2"), ("<div>" * 5000 + "deep", "deep"), ('<a "' * 50000, None),
+        ("<" * 50000, None), ("<!-- " * 20000, ""), ("<script>" * 20000, ""), ("<p>a " * 30000, "\n".join("a" * 30000)), ("<b" * 30000 + ">", ""), ("<i class=ad>x</i>y", "y"),
+    ],
+)
+def test_odd_pages_in_linear_time(page, text):
+    import time
+
+    began = time.process_time()
+    got = html.extract(page, None)
+    assert (text is None or text in (got, got.split("\n")[-1])) and time.process_time() - began < 5
+
+
 def test_consensus_helps(spark):
     """A page whose best container misleads is read by the path that its host agrees on."""
     good = "<body><div class='story'><p>{}</p></div><div class='x'><p>{}</p></div></body>"
