@@ -149,7 +149,7 @@ def pregel(
         raise ValueError("message, reverse and merge need the same names")
     used = " ".join(str(c) for c in [*message.values(), *(reverse or {}).values(), *([where] if where is not None else [])])
     state = checkpoint(nodes)
-    edges = edges if edges.isStreaming else checkpoint(edges)
+    edges = checkpoint(edges)
     for _ in range(max_iter):
         wide = edges
         if "src_" in used:
