@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import pandas as pd
@@ -12,7 +13,9 @@ from statflow.functions import arrays, links
 from statflow.models import forest, glm, kmeans, logistic, naive_bayes, tree
 from statflow.operators import aggregates as agg
 from statflow.operators import custom, graph, pairs, quantile, transform
+from statflow.plans.durable import checkpoint_dir
 from statflow.sources.binomial import binomial_source
+from statflow.streaming import aggregates as streaming
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -488,6 +491,19 @@ def binomial_gen(spark, sf_dir):
     return df.where("y1 >= 0 and y2 >= 0 and input1 >= 0 and input1 < 1").groupBy(F.spark_partition_id().alias("part")).agg(F.count(F.lit(1)).cast("int").alias("n"))
 
 
+@query(
+    "SELECT CAST(floor(epoch(ts) / 604800) * 604800 AS BIGINT) AS start, event_type, round(avg(value), 4) AS mean, min(value) AS min, max(value) AS max, count(*) AS count FROM events GROUP BY ALL"
+)
+def streaming_summary(spark, sf_dir):
+    """Reads the events as a stream, to its end, and summarises them by week."""
+    name = f"stream_{uuid.uuid4().hex}"
+    stream = spark.readStream.schema(_t(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/events.parque[t]")
+    windows = streaming.windowed_summary(stream.withColumn("ts", F.col("ts").cast("timestamp")), "ts", ["value"], "7 days", by=["event_type"])
+    # One row per week and type: the memory sink suits it.
+    windows.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", f"{checkpoint_dir(spark)}/statflow/{name}").trigger(availableNow=True).start().awaitTermination()
+    return _round(spark.table(name).select(F.col("start").cast("long").alias("start"), "event_type", "mean", "min", "max", "count"), mean=4)
+
+
 _G1 = "SELECT DISTINCT l_orderkey % 1000 AS s, l_partkey % 1000 AS t FROM lineitem WHERE l_quantity = 50"
 _G1B = f"SELECT s, t FROM ({_G1}) UNION SELECT t, s FROM ({_G1}) WHERE s % 7 = 0"
 
