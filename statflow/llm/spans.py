@@ -93,29 +93,36 @@ def spans(text: str | None, least: int = LEAST) -> tuple[np.ndarray, np.ndarray,
 
 
 def all_spans(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, h, i, j: one row per span."""
+    """doc_id, h, i, j, again: one row per span; ``again`` where its hash occurs earlier in the document."""
 
-    @F.pandas_udf("h array<long>, i array<int>, j array<int>")
+    @F.pandas_udf("h array<long>, i array<int>, j array<int>, again array<boolean>")
     def cut(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([spans(t, least) for t in texts], columns=["h", "i", "j"])
+        rows = []
+        for t in texts:
+            h, i, j = spans(t, least)  # in order of position
+            again = np.ones(len(h), bool)
+            again[np.unique(h, return_index=True)[1]] = False
+            rows.append((h, i, j, again))
+        return pd.DataFrame(rows, columns=["h", "i", "j", "again"])
 
     rows = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), cut(F.col(text)).alias("s"))
-    return rows.select("doc_id", F.inline(F.arrays_zip("s.h", "s.i", "s.j"))).toDF("doc_id", "h", "i", "j")
+    return rows.select("doc_id", F.inline(F.arrays_zip("s.h", "s.i", "s.j", "s.again"))).toDF("doc_id", "h", "i", "j", "again")
 
 
 def repeats(found: DataFrame) -> DataFrame:
     """``found``: durable spans. doc_id, cut (array of i, j): what to remove."""
-    total = found.count()
-    first = F.min(F.struct("doc_id", "i")).alias("first")
-    groups = found.groupBy("h").agg(first, F.count(F.lit(1)).alias("n")).where("n > 1")
-    groups = materialize(groups.select("h", "first.doc_id", "first.i", "n").toDF("h", "first_doc", "first_i", "n"), "groups")
-    hot = groups.where(F.col("n") * SHARE > total)
-    later = (F.col("doc_id") != F.col("first_doc")) | (F.col("i") != F.col("first_i"))
+    own = found.where("again").select("doc_id", "i", "j")  # never a first occurrence
+    once = found.where("not again").select("doc_id", "h", "i", "j")
+    total = once.count()
+    groups = once.groupBy("h").agg(F.min("doc_id").alias("first_doc"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    groups = materialize(groups, "groups")
+    later = F.col("doc_id") != F.col("first_doc")
     # At most SHARE hashes are that frequent.
-    marked = found.join(F.broadcast(hot.withColumnRenamed("n", "m")), "h", "left")
+    hot = groups.where(F.col("n") * SHARE > total)
+    marked = once.join(F.broadcast(hot.withColumnRenamed("n", "m")), "h", "left")
     common = marked.where(F.col("m").isNotNull() & later).select("doc_id", "i", "j")
     rest = marked.where("m is null").select("doc_id", "h", "i", "j").join(groups.where(F.col("n") * SHARE <= total), "h").where(later).select("doc_id", "i", "j")
-    return common.union(rest).groupBy("doc_id").agg(F.collect_set(F.struct("i", "j")).alias("cut"))
+    return own.union(common).union(rest).groupBy("doc_id").agg(F.collect_set(F.struct("i", "j")).alias("cut"))
 
 
 def remove_repeats(docs: DataFrame, least: int = LEAST, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
