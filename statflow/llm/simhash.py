@@ -233,8 +233,9 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 
 
 def sketch(text: str | None, shingle: int = 5) -> bytes:
-    """WIDTH fingerprints of one text by independent hashes of its shingles, 64 bits each."""
-    hashes = _shingles(text, shingle)
+    """WIDTH fingerprints of one text by independent hashes of its distinct shingles, 64 bits each:
+    with repeats, one line that two texts repeat would outvote all they do not share."""
+    hashes = np.unique(_shingles(text, shingle))
     if not len(hashes):
         return bytes(8 * WIDTH)
     x = hashes[None] + _STEPS  # splitmix64: one hash per shingle, WIDTH mixes of it

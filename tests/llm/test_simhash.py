@@ -90,3 +90,13 @@ def test_similar_joins_large_groups_without_all_pairs():
     found = simhash.similar(np.concatenate([rows, far]), None)
     assert len(found) == 1499 and found.max() < 1500
     assert len(simhash.similar(rows[:900], rows[900:])) == 1499
+
+
+def test_texts_that_share_a_repeated_line_both_stay(spark):
+    line = " ".join(f"r{i}" for i in range(10))
+    docs = []
+    for k in range(60):
+        own = [" ".join(f"d{k}w{i}" for i in range(a, a + 10)) for a in range(0, 210, 10)]
+        docs.append((k, "\n".join(x for pair in zip(own, [line] * 20, strict=False) for x in pair) + "\n" + own[-1]))
+    assert all(len(t.split()) == 410 for _, t in docs)
+    assert simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).count() == 60
