@@ -46,10 +46,12 @@ TILE = 256
 WIDE = 512
 #: For near-duplicates by similarity. Shingle sets of similarity s differ in a share
 #: acos(2 s / (1 + s)) / pi of the bits: 0.151 at 0.8, give or take 0.016 over 512 bits.
+#: Pairs within CLOSE are mostly similar, few similar ones are beyond MAYBE; the shingles decide.
 WIDTH = 8
 SIMILARITY = 0.8
 NEAR = 18
 CLOSE = 90
+MAYBE = 110
 _ONES = np.uint64(0x0101010101010101)
 _STEPS = np.array([[k * 0x9E3779B97F4A7C15 % 2**64] for k in range(WIDTH)], np.uint64)
 
@@ -235,7 +237,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
 def sketch(text: str | None, shingle: int = 5) -> bytes:
     """WIDTH fingerprints of one text by independent hashes of its distinct shingles, 64 bits each:
     with repeats, one line that two texts repeat would outvote all they do not share."""
-    hashes = np.unique(_shingles(text, shingle))
+    return _sketch(np.unique(_shingles(text, shingle)))
+
+
+def _sketch(hashes: np.ndarray) -> bytes:
     if not len(hashes):
         return bytes(8 * WIDTH)
     x = hashes[None] + _STEPS  # splitmix64: one hash per shingle, WIDTH mixes of it
@@ -244,10 +249,10 @@ def sketch(text: str | None, shingle: int = 5) -> bytes:
     return _majority(x ^ (x >> np.uint64(31))).tobytes()
 
 
-def similar(a: np.ndarray, b: np.ndarray | None, near: int = NEAR, close: int = CLOSE) -> np.ndarray:
+def similar(a: np.ndarray, b: np.ndarray | None, near: int = NEAR, close: int = CLOSE, groups: np.ndarray | None = None) -> np.ndarray:
     """Spanning forest, as (n, 2) positions in a followed by b (in a alone if None), of the pairs of
-    sketches that differ in at most ``near`` bits of the first word and ``close`` bits in all.
-    Tiles are in order of the first word's population count; pairs of tiles whose counts lie
+    sketches that differ in at most ``near`` bits of the first word and ``close`` bits in all. With
+    ``groups``, one number a row, all such pairs of rows of different groups. Tiles are in order of the first word's population count; pairs of tiles whose counts lie
     further apart than ``near`` are skipped."""
     same = b is None
     order_a = np.argsort(np.bitwise_count(a[:, 0]), kind="stable")
@@ -259,6 +264,7 @@ def similar(a: np.ndarray, b: np.ndarray | None, near: int = NEAR, close: int =
     parent = np.arange(len(rows))
     words, bits = np.empty((WIDE, WIDE), np.uint64), np.empty((WIDE, WIDE), np.uint8)
     edges: list[tuple[int, int]] = []
+    pairs: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
 
     def find(x: int) -> int:
         while parent[x] != x:
@@ -285,6 +291,10 @@ def similar(a: np.ndarray, b: np.ndarray | None, near: int = NEAR, close: int =
             p, q = p + a0, q + b0  # candidates: a few in ten thousand pairs of unlike texts
             ok = np.bitwise_count(xa[p] ^ xb[q]).sum(axis=1) <= close
             p, q = order_a[p[ok]], order_b[q[ok]]
+            if groups is not None:
+                apart = groups[p] != groups[q]
+                pairs.append(np.stack([p[apart], q[apart]], axis=1))
+                continue
             if len(p) > 64:  # a group of many near copies: look at one link per pair of trees
                 ra, rb = {x: find(x) for x in np.unique(p).tolist()}, {x: find(x) for x in np.unique(q).tolist()}
                 u, v = np.array([ra[x] for x in p.tolist()]), np.array([rb[x] for x in q.tolist()])
@@ -295,38 +305,69 @@ def similar(a: np.ndarray, b: np.ndarray | None, near: int = NEAR, close: int =
                 if u != v:
                     parent[max(u, v)] = min(u, v)
                     edges.append((i, j))
-    return np.array(edges, np.int64).reshape(-1, 2)
-
+    return np.concatenate(pairs) if groups is not None else np.array(edges, np.int64).reshape(-1, 2)
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, block: int = 2 * BLOCK) -> DataFrame:
-    """``docs`` without near-duplicates, texts whose word shingles are similar by SIMILARITY or more: of
-    each group one row stays, that of its least doc_id (rows without an id all stay; of repeated
-    rows of that id one stays). Two fingerprints of 64 bits are too coarse for that similarity, so
-    each text has WIDTH of them: the first is compared tile by tile and finds candidates, all
-    together decide. Sketches of blocks of texts are shuffled, never texts or pairs."""
-
-    @F.pandas_udf("binary")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([sketch(t, shingle) for t in texts])
 
-    marked = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), of(F.col(text)).alias("sketch"))
-    classes = materialize(marked.groupBy("sketch").agg(F.min("doc_id").alias("id")), "sketches")
-    blocks = max(1, -(-classes.count() // block))
+def _candidates(classes: DataFrame, blocks: int, close: int, every: bool) -> DataFrame:
+    """``classes``: id, sketch, component. Edges u, v: a spanning forest of the pairs within ``close``,
+    or ``every`` such pair of different components."""
     dealt = classes.withColumn("b", F.pmod(F.xxhash64("sketch"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("id", "sketch", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), (F.col("b") > F.col("o")).alias("second"))
+    dealt = dealt.select("id", "sketch", "component", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), (F.col("b") > F.col("o")).alias("second"))
 
     def compare(pdf: pd.DataFrame) -> pd.DataFrame:
         side = pdf["second"].to_numpy()
         rows = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(-1, WIDTH)
-        ids = pdf["id"].to_numpy()
+        ids, groups = pdf["id"].to_numpy(), pdf["component"].to_numpy()
         if pdf["p"].iat[0] == pdf["q"].iat[0]:
-            found = similar(rows, None)
+            found = similar(rows, None, close=close, groups=groups if every else None)
+        elif side.any() and not side.all():
+            ids, groups = np.concatenate([ids[~side], ids[side]]), np.concatenate([groups[~side], groups[side]])
+            found = similar(rows[~side], rows[side], close=close, groups=groups if every else None)
         else:
-            found = similar(rows[~side], rows[side]) if side.any() and not side.all() else np.zeros((0, 2), np.int64)
-            ids = np.concatenate([ids[~side], ids[side]])
+            found = np.zeros((0, 2), np.int64)
         return pd.DataFrame(ids[found], columns=["u", "v"])
 
-    edges = dealt.groupBy("p", "q").applyInPandas(compare, "u long, v long")
+    return dealt.groupBy("p", "q").applyInPandas(compare, "u long, v long")
+
+
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, block: int = 2 * BLOCK) -> DataFrame:
+    """``docs`` without near-duplicates, texts whose sets of word shingles have a Jaccard similarity of
+    SIMILARITY or more: of each group one row stays, that of its least doc_id (rows without an id all
+    stay; of repeated rows of that id one stays). Sketches of WIDTH fingerprints find candidates, tile
+    by tile; the texts' own shingles decide. A large group of near copies would have the square of its
+    size in candidates, so first a spanning forest of the pairs within CLOSE is settled, then
+    every pair within MAYBE of what is still apart. Only texts with a candidate are read again."""
+
+    @F.pandas_udf("sketch binary, same binary")
+    def of(texts: pd.Series) -> pd.DataFrame:
+        sets = [np.unique(_shingles(t, shingle)) for t in texts]
+        return pd.DataFrame({"sketch": [_sketch(x) for x in sets], "same": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]})
+
+    @F.pandas_udf("array<long>")
+    def shingles(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(_shingles(t, shingle)).view(np.int64) for t in texts])
+
+    full = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    marked = full.select("doc_id", of("text").alias("m")).select("doc_id", "m.*")
+    # Texts of the same shingles are one class; the id stands for it.
+    classes = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")).select("id", "sketch"), "sketches")
+    blocks = max(1, -(-classes.count() // block))
+
+    def verified(found: DataFrame) -> DataFrame:
+        edges = materialize(found.distinct(), "candidates")
+        ends = edges.select(F.col("u").alias("doc_id")).union(edges.select("v")).distinct()
+        sets = full.join(ends, "doc_id", "left_semi").select("doc_id", shingles("text").alias("s")).dropDuplicates()
+        sets = materialize(sets, "shingles")
+        both = edges.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
+        common, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
+        # In whole numbers of a thousandth: 4 of 5 in common is 0.8.
+        ok = common * 1000 >= F.lit(round(SIMILARITY * 1000)) * (total - common)
+        return materialize(both.where(ok).select("u", "v"), "links")
+
+    sure = verified(_candidates(classes.withColumn("component", F.col("id")), blocks, CLOSE, False))
+    stars = star_components(sure).withColumnRenamed("node", "id")
+    apart = materialize(classes.join(stars, "id", "left").withColumn("component", F.coalesce("component", "id")), "apart")
+    edges = sure.union(verified(_candidates(apart, blocks, MAYBE, True)))
     found = star_components(edges).where("node <> component").select(F.col("node").alias("id"))
     heads = materialize(classes.select("id").join(found, "id", "left_anti").withColumnRenamed("id", "__head"), "heads")
     kept = docs.join(heads, F.col(doc_id) == F.col("__head"), "left_semi").dropDuplicates([doc_id])

@@ -100,3 +100,14 @@ def test_texts_that_share_a_repeated_line_both_stay(spark):
         docs.append((k, "\n".join(x for pair in zip(own, [line] * 20, strict=False) for x in pair) + "\n" + own[-1]))
     assert all(len(t.split()) == 410 for _, t in docs)
     assert simhash.keep_one(spark.createDataFrame(docs, "doc_id long, text string")).count() == 60
+
+
+@pytest.mark.parametrize("block", [100, 70000])
+def test_keep_one_checks_the_similarity(spark, sf_dir, block):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    base = [f"v{i}" for i in range(1000)]
+    rows += [(10**6 + k, " ".join(base[:-n] + [f"u{k}x{i}" for i in range(n)])) for k, n in enumerate((1, 60, 170, 170))]  # 0.65 - 0.89 to each other
+    sets = [(i, set(simhash._shingles(t, 5).tolist())) for i, t in rows]
+    want = brute.components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
+    assert kept == {i for i in want if want[i] == i}
