@@ -267,6 +267,15 @@ def cross_stats(spark, sf_dir):
     return _round(pairs.cross_stats(df.where("label = 0"), df.where("label = 1"), "vec_id", "embedding"), correlation=6)
 
 
+@query(
+    "WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v, list_avg(embedding::DOUBLE[]) AS m, list_stddev_pop(embedding::DOUBLE[]) AS s FROM embeddings) "
+    "SELECT a.vec_id AS x, b.vec_id AS y, round((list_dot_product(a.v, b.v) / 64 - a.m * b.m) / (a.s * b.s), 6) AS correlation FROM e a, e b"
+)
+def cross_stats_all(spark, sf_dir):
+    df = _t(spark, sf_dir, "embeddings")
+    return _round(pairs.cross_stats(df, df, "vec_id", "embedding"), correlation=6)
+
+
 def _charts(df: DataFrame) -> DataFrame:
     return agg.line_chart_matrix(df.select("label", F.posexplode("embedding").alias("i", "x")), "label", "i", "x", 64)
 
