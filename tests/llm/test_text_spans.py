@@ -9,51 +9,61 @@ from statflow.llm import binpack, html, spans, urls
 from statflow.llm.queries import vocabulary
 
 
-def _plain_spans(text, least=16):
-    parts = [s.lower().split() for s in spans.sentences(text)]
-    real = [i for i, p in enumerate(parts) if p]
-    runs = set()
-    for x in range(len(real)):
-        for y in range(x + 1, len(real)):
-            if sum(len(parts[i]) for i in real[x : y + 1]) >= least:
-                runs.add((real[x], real[y]))
-                break
-        for y in range(x - 1, -1, -1):
-            if sum(len(parts[i]) for i in real[y : x + 1]) >= least:
-                runs.add((real[y], real[x]))
-                break
-    return {(" ".join(w for p in parts[i : j + 1] for w in p), i, j) for i, j in runs}
-
-
-def _plain_dedup(docs):
+def _plain_dedup(docs, longest=6):
+    """docs: (order, text) in order of first occurrence. What is left and how many sentences went, by the
+    definition: every run of two or more (here up to ``longest``) sentences, repeats but the first removed."""
+    cut = [[s for s in spans.sentences(t or "")] for _, t in docs]
     seen = {}
-    for d, t in docs:
-        for key, i, j in _plain_spans(t or ""):
-            seen.setdefault(key, set()).add((d, i, j))
-    gone = {}
+    for d, parts in enumerate(cut):
+        real = [i for i, p in enumerate(parts) if p.split()]
+        for x in range(len(real)):
+            for y in range(x + 1, min(x + longest, len(real))):
+                key = tuple(" ".join(parts[i].lower().split()) for i in real[x : y + 1])
+                seen.setdefault(key, []).append((d, real[x], real[y]))
+    gone = [set() for _ in docs]
     for at in seen.values():
-        first = min(at)
-        for d, i, j in at:
-            if (d, i) != first[:2]:
-                gone.setdefault(d, set()).update(range(i, j + 1))
-    return {d: t if t is None else "".join(s for k, s in enumerate(spans.sentences(t)) if k not in gone.get(d, ())) for d, t in docs}, gone
+        for d, i, j in sorted(at)[1:]:
+            gone[d] |= set(range(i, j + 1))
+    return [None if t is None else "".join(s for k, s in enumerate(parts) if k not in g) for (_, t), parts, g in zip(docs, cut, gone, strict=True)], [len(g) for g in gone]
 
 
-def test_remove_repeats(spark, sf_dir):
-    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
-    passage = "One two three, four five six seven. Eight nine ten! " * 1 + " ".join(f"w{i}" for i in range(60)) + ". And so it ends, it is said."
-    odd = [None, "", "\n \n", "....", "x" * 9000, "word " * 3000, f"Lead in here. {passage} Out.", f"Other start: {passage}\nNext", "é. È! " * 40, "a. b. c. " * 50]
+@pytest.mark.parametrize("share", [100_000, 2])
+def test_remove_repeats(spark, sf_dir, share, monkeypatch):
+    monkeypatch.setattr(spans, "SHARE", share)
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()]
+    passage = "One two three, four five six seven. Eight nine ten! " + " ".join(f"w{i}" for i in range(60)) + ". And so it ends, it is said."
+    odd = [None, "", "\n \n", "....", "x" * 9000, "word " * 3000, f"Lead in here. {passage} Out.", f"Other start: {passage}\nNext", "é. È! " * 40, "a. b. c. " * 50, "\x85. \u3000! a\xa0b. c."]
     docs += [(10**6 + i, t) for i, t in enumerate(odd)]
     df = spark.createDataFrame([(d, t, 1) for d, t in docs] + [(None, passage, 1)], "doc_id long, text string, h int").repartition(5)
-    want, gone = _plain_dedup(docs)
-    got = {r["doc_id"]: r for r in spans.remove_repeats(df).collect()}
-    assert got.pop(None)["text"] == passage
-    assert {d: r["text"] for d, r in got.items()} == want
-    assert {d: r["n_removed"] for d, r in got.items() if r["n_removed"]} == {d: len(g) for d, g in gone.items()}
-    assert "w30" in want[10**6 + 6] and "w30" not in want[10**6 + 7] and "it is said" not in want[10**6 + 7]
+    left, gone = _plain_dedup([*docs, (None, passage)])
+    rows = spans.remove_repeats(df).collect()
+    got = {r["doc_id"]: r for r in rows}
+    assert len(rows) == len(docs) + 1
+    assert {d: r["text"] for d, r in got.items()} == {d: t for (d, _), t in zip([*docs, (None, None)], left, strict=True)}
+    assert {d: r["n_removed"] for d, r in got.items()} == {d: n for (d, _), n in zip([*docs, (None, None)], gone, strict=True)}
+    assert "w30" in got[10**6 + 6]["text"] and "w30" not in got[10**6 + 7]["text"] and "it is said" not in got[10**6 + 7]["text"] and got[None]["n_removed"] > 4
     assert spans.remove_repeats(df.limit(0)).count() == 0
 
 
+def test_short_repeats_go(spark):
+    docs = spark.createDataFrame([(i, "All rights reserved. Terms apply here.") for i in range(5)] + [(9, "Alone it stands.")] * 2, "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_removed"]) for r in spans.remove_repeats(docs).collect())
+    assert got == [(0, 0), (1, 2), (2, 2), (3, 2), (4, 2), (9, 0), (9, 0)]
+
+
+def test_removals_belong_to_rows(spark):
+    """Rows that share an id keep what is theirs; identical rows are copies."""
+    lent = " ".join(f"Lent {i} is here." for i in range(10))
+    own = " ".join(f"Own {i} is not there." for i in range(10))
+    rows = [(1, lent), (2, lent), (2, own), (3, own + " More."), (4, "P q r. S t u."), (4, "P q r. S t u."), (5, "K l. M n."), (5, "K l. M n. O p."), (None, "K l. M n.")]
+    for parts in (1, 4):
+        df = spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)
+        got = sorted((r["doc_id"] or 99, r["text"], r["n_removed"]) for r in spans.remove_repeats(df).collect())
+        assert got[:3] == [(1, lent, 0), (2, "", 10), (2, own, 0)] and got[3][1] == "More."
+        assert got[4:6] == [(4, "", 2), (4, "P q r. S t u.", 0)] and got[-1] == (99, "", 2)
+        assert sorted(x[2] for x in got[6:8]) == [0, 2]
+
+
 @pytest.mark.parametrize("text", ["", "a", "a. b", " \n x, y; z: w. ", "no marks " * 70, "\n\n a." * 5, "!!! ??? ..."])
 def test_sentences_are_the_text(text):
     assert "".join(spans.sentences(text)) == text
@@ -62,7 +72,7 @@ def test_sentences_are_the_text(text):
 def test_long_sentences_are_cut_alike_wherever_they_begin():
     words = [f"w{i}" for i in range(200)]
     a, b = spans.sentences(" ".join(words)), spans.sentences(" ".join(["other", *words[30:]]))
-    assert len(a) > 10 and a[-8:] == b[-8:]
+    assert len(a) > 10 and a[-8:] == b[-8:] and min(len(p.split()) for p in a) > 4
 
 
 def test_binary_rows(spark, sf_dir):
