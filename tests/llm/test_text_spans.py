@@ -135,6 +135,36 @@ def test_page():
     assert best.endswith("article.post-#") and html.extract(PAGE, best) == html.extract(PAGE, None) == html.extract(PAGE, "no>such") == TEXT
 
 
+@pytest.mark.parametrize(
+    "part,kept",
+    [
+        ('<section id="discussion"><p>We found it</p></section>', "We found it"), ('<div class="entry-header"><h1>Title</h1></div>', "Title"), ('<h2 id="related-work">Related work</h2>', "Related work"),
+        ('<h2 id="comments">On comments</h2>', "On comments"), ('<div class="search-results-analysis">We analyse</div>', "We analyse"), ('<p>The <span class="form">form</span> of it</p>', "The form of it"),
+        ("<header><h1>Headline</h1></header>", "Headline"), ('<div class="advertising-history">Long ago</div>', "Long ago"), ('<div class="related"><p>A case like this, see <a href="/x">there</a>.</p></div>', "A case like this, see there."),
+        ('<div class="related"><a href="/x">More</a> <a href="/y">and more</a></div>', ""), ('<div class="share">Share</div>', ""), ('<div class="ad_slot-3">Buy</div>', ""), ('<section class="comments-area"><p>First!</p></section>', ""),
+        ('<div id="comment-list">First!</div>', ""), ('<div class="cookie-notice">We use cookies</div>', ""), ('<p class="notice">Note</p>', ""), ('<div class="sidebar-left">Side</div>', ""), ('<div role="complementary">Side</div>', ""),
+    ],
+)
+def test_names_inside_content(part, kept):
+    """In an article and in a winning container alike."""
+    want = "\n".join(x for x in ("Some text that is long enough.", kept, "The end.") if x)
+    body = f"<p>Some text that is long enough.</p>{part}<p>The end.</p>"
+    assert html.extract(f"<body><nav>Menu</nav><article>{body}</article><footer>f</footer></body>", None) == want
+    if "<header>" not in part:
+        assert html.extract(f"<body><div id=menu>Menu</div><div class='story'>{body}</div></body>", "body>div.story") == want
+
+
+def test_two_templates_on_one_host(spark):
+    """The lesser template keeps its article, though the winner's path holds a teaser on it."""
+    one = "<body><div class='content'><p>{}</p></div></body>"
+    article = "<body><main><article><p>{}</p></article></main><div class='content'><p>Teaser</p></div></body>"
+    plain = "<body><div class='content'><p>Teaser</p></div><div class='text-7'><p>{}</p></div></body>"
+    pages = [(i, one.format("first " * 30)) for i in range(12)] + [(20, article.format("second " * 30))] + [(30 + i, plain.format("third " * 30)) for i in range(4)]
+    df = spark.createDataFrame([(i, "http://h.example/a", p) for i, p in pages], "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(df).collect()}
+    assert got == {i: (w * 30).strip() for i, w in [*((i, "first ") for i in range(12)), (20, "second "), *((30 + i, "third ") for i in range(4))]}
+
+
 @pytest.mark.parametrize(
     "page,text",
     [
