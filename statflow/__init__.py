@@ -1,3 +1,3 @@
-"""statflow: statistics, data mining and graph analytics on PySpark DataFrames."""
+"""statflow: summaries, models, data mining and graph analytics on PySpark DataFrames."""
 
 __version__ = "0.1.0"

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -39,6 +41,35 @@ def _once(x: Column, body) -> Column:
     return F.transform(F.array(x), body).getItem(0)
 
 
+def erf_of(x: np.ndarray) -> np.ndarray:
+    """The same error function on arrays."""
+    a = np.abs(np.asarray(x, float))
+    y, b = a * a, np.maximum(a, 0.46875)
+    c = np.maximum(a, 4.0)
+    poly = np.polyval
+    low = x * poly(_ERF[0][0], np.minimum(y, 0.25)) / poly(_ERF[0][1], np.minimum(y, 0.25))
+    mid = np.exp(-b * b) * poly(_ERF[1][0], b) / poly(_ERF[1][1], b)
+    z = 1 / (c * c)
+    far = np.exp(-c * c) / c * (1 / math.sqrt(math.pi) - z * poly(_ERF[2][0], z) / poly(_ERF[2][1], z))
+    return np.where(a <= 0.46875, low, np.sign(x) * (1 - np.where(a <= 4, mid, far)))
+
+
+def normal_cdf_of(x: np.ndarray) -> np.ndarray:
+    return (erf_of(np.asarray(x) / math.sqrt(2)) + 1) / 2
+
+
+def normal_quantile_of(p: np.ndarray) -> np.ndarray:
+    """The normal quantile on arrays; outside (0, 1) not a number."""
+    p = np.asarray(p, float)
+    poly = np.polyval
+    with np.errstate(all="ignore"):
+        q = p - 0.5
+        r0 = 0.180625 - q * q
+        r = np.sqrt(-np.log(np.minimum(p, 1 - p)))
+        tail = np.where(r <= 5, poly(_PPND[1][0], r - 1.6) / poly(_PPND[1][1], r - 1.6), poly(_PPND[2][0], r - 5) / poly(_PPND[2][1], r - 5))
+        return np.where(np.abs(q) <= 0.425, q * poly(_PPND[0][0], r0) / poly(_PPND[0][1], r0), np.sign(q) * tail)
+
+
 def erf(x: Column) -> Column:
     return _once(x, _erf)
 
@@ -121,6 +152,7 @@ DISPERSION = {
     "exponential": lambda x: F.lit(1.0),
     "gamma": lambda x: 1 / x,
     "inverse_gaussian": lambda x: x * x,
+    "negative_binomial": lambda x: F.lit(1.0),
 }
 
 

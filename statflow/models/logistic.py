@@ -39,10 +39,14 @@ class LogisticModels:
         return df.sparkSession.createDataFrame(rows, "effect string, drug string, coefficient double")
 
 
+MOST_STRATA = 100_000
+
+
 def logistic_multi(cases: DataFrame, drugs: str = "drugs", effects: str = "effects", stratum: str = "stratum", step: float = 1.0, tolerance: float = 0.05, max_iter: int = 100, limit: int = 2_000_000) -> LogisticModels:
     """``cases``: arrays of drugs and of effects and a stratum. Strata of an effect are joined, in
     order, until a group holds max(10, sqrt(reports) / 2) cases. A coefficient moves by ``step`` times
-    its mean gradient; stops when no step exceeds ``tolerance`` of its coefficient. At most ``limit`` coefficients."""
+    its mean gradient; stops when no step exceeds ``tolerance`` of its coefficient. At most ``limit`` coefficients and
+    MOST_STRATA strata; beyond it fails."""
     flat = cases.select(F.array_distinct(drugs).alias("drugs"), F.array_distinct(effects).alias("effects"), F.col(stratum).cast("string").alias("stratum")).dropna()
     rows = materialize(flat, "cases")
     names = lambda c: [r[0] for r in rows.select(F.explode(c).alias("x")).where("x is not null").distinct().orderBy("x").limit(limit + 1).collect()]
@@ -51,7 +55,9 @@ def logistic_multi(cases: DataFrame, drugs: str = "drugs", effects: str = "effec
         raise ValueError("no drugs or no effects")
     if len(d) * len(e) > limit:
         raise ValueError(f"over {limit} coefficients")
-    strata = {r["stratum"]: r["count"] for r in rows.groupBy("stratum").count().orderBy("stratum").limit(100_000).collect()}
+    strata = {r["stratum"]: r["count"] for r in rows.groupBy("stratum").count().orderBy("stratum").limit(MOST_STRATA + 1).collect()}
+    if len(strata) > MOST_STRATA:
+        raise ValueError(f"over {MOST_STRATA} strata")
     plus = {r["x"]: r["count"] for r in rows.select(F.explode("effects").alias("x")).groupBy("x").count().collect()}
     order = sorted(strata)
     groups, of = {}, np.zeros((len(e), len(order)), np.int64)

@@ -91,7 +91,7 @@ def gram(df: DataFrame, vector: str, size: int) -> tuple[int, np.ndarray, np.nda
 
 @dataclass
 class ScalerModel:
-    """Statistics of a vector column and the scaling they stand for."""
+    """Measures of a vector column and the scaling they stand for."""
 
     vector: str
     stats: DataFrame
@@ -203,6 +203,7 @@ def build_sparse_array(df: DataFrame, key: str, vector: str) -> DataFrame:
     return rows.select("key", "position", F.posexplode("v").alias("index", "value"))
 
 
+WIDE = 30
 AGGREGATES = {"sum": F.sum, "multiplication": F.product, "replacement": F.last, "omission": F.first}
 
 
@@ -248,20 +249,35 @@ def first_k(df: DataFrame, size: int, order_by: str | Sequence[str] | None = Non
     return df.orderBy(*_by(order_by)).limit(size) if order_by else df.limit(size)
 
 
-def reservoir_sample(df: DataFrame, size: int, seed: int = 42) -> DataFrame:
-    """A uniform sample of ``size`` rows without replacement. A top-k by a random number: each task
-    keeps ``size`` rows, so nothing is sorted in full."""
+def reservoir_sample(df: DataFrame, size: int, seed: int = 42, key: str | Sequence[str] | None = None) -> DataFrame:
+    """A uniform sample of ``size`` rows without replacement. A top-k by a seeded hash of ``key``
+    (default: the whole row as JSON), so reruns agree on any layout; of equal keys all draw alike, so name
+    a unique one. Each task keeps ``size`` rows, so nothing is sorted in full."""
     if size < 0:
         raise ValueError("size must not be negative")
-    return df.withColumn("__draw", F.rand(seed)).orderBy("__draw").limit(size).drop("__draw")
+    names = _by(key)
+    drawn = F.xxhash64(F.lit(seed), *[F.col(c) for c in names]) if names else F.xxhash64(F.lit(seed), F.to_json(F.struct(*df.columns)))
+    return df.withColumn("__draw", drawn).orderBy("__draw").limit(size).drop("__draw")
 
 
 def ols(df: DataFrame, x: Sequence[str], y: str, intercept: bool = True) -> DataFrame:
-    """Least squares: term, coefficient, n. The cross products are partial sums; the solve is one small system."""
+    """Least squares: term, coefficient, n. The cross products are one pass of partial aggregates (of
+    over WIDE predictors: of matrices in Arrow batches); the solve is one small system."""
     _need(df, [*x, y])
     spark = df.sparkSession
-    rows = df.dropna(subset=[*x, y]).select(F.array(*[F.col(c).cast("double") for c in [*x, y]]).alias("v"))
-    n, mean, m2 = gram(rows, "v", len(x) + 1)
+    cols = [F.col(c).cast("double") for c in [*x, y]]
+    rows = df.dropna(subset=[*x, y])
+    if len(x) > WIDE:
+        n, mean, m2 = gram(rows.select(F.array(*cols).alias("v")), "v", len(cols))
+    else:
+        at = [(i, j) for i in range(len(cols)) for j in range(i, len(cols))]
+        got = list(rows.agg(F.count(F.lit(1)), *[F.avg(c) for c in cols], *[F.covar_pop(cols[i], cols[j]) for i, j in at]).first())
+        n = got[0]
+        mean, m2 = np.zeros(len(cols)), np.zeros((len(cols), len(cols)))
+        if n:
+            mean = np.array(got[1 : len(cols) + 1])
+            for (i, j), v in zip(at, got[len(cols) + 1 :], strict=True):
+                m2[i, j] = m2[j, i] = v * n
     if n == 0:
         return spark.createDataFrame([], "term string, coefficient double, n long")
     k = len(x)

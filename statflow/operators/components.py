@@ -6,40 +6,36 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statflow.plans.durable import checkpoint
+from statflow.plans.durable import forget, materialize, scratch
+from statflow.plans.lookup import join_lookup
 
-SALTS = 8
 
-
-def _minima_join(sym: DataFrame, minima: DataFrame) -> DataFrame:
-    """Each edge with its first end's minimum. Edges of a hub are dealt over
-    SALTS tasks; the minima, one row per vertex, are repeated that often."""
-    left = sym.withColumn("salt", F.pmod(F.xxhash64("v"), F.lit(SALTS)))
-    right = minima.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
-    return left.join(right, ["u", "salt"]).drop("salt")
-
-
-def star_components(edges: DataFrame, max_iter: int = 60) -> DataFrame:
+def star_components(edges: DataFrame) -> DataFrame:
     """``edges``: u, v (long, same type). Returns node, component (the least node
-    reachable) for every node that has an edge to another one. State is
-    checkpointed after each round; rows with a null end are dropped."""
+    reachable) for every node that has an edge to another one. State is written
+    after each round and the one before deleted; rows with a null end are dropped.
+    Edges meet the minima of their ends by a measured lookup, so hubs are split by their
+    size. Rounds grow with the logarithm of the nodes (squared, at worst)."""
+    spark = edges.sparkSession
     e = edges.select(F.col("u").cast("long"), F.col("v").cast("long")).where("u <> v")
-    e = checkpoint(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    e = materialize(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
-    for _ in range(max_iter):
+    while True:
         digest = e.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
         if digest == before or digest["n"] == 0:
             break
         before = digest
-        sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = _minima_join(sym, low).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = _minima_join(large, low2).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        e = checkpoint(small.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
-    else:
-        raise RuntimeError(f"no fix-point after {max_iter} rounds")
+        with scratch(spark) as keep:
+            sym = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
+            low = sym.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+            large = join_lookup(sym.where("v > u"), low, "u", "v", "inner").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+            large = materialize(large, "large")
+            low2 = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "low")
+            small = join_lookup(large, low2, "u", "v", "inner").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            small = small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
+            new = keep(materialize(small.union(low2.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), "edges"))
+        forget(e)
+        e = new
     stars = e.groupBy("u").agg(F.min("v").alias("v"))
     roots = e.select(F.col("v").alias("u"), "v").distinct()
     return stars.union(roots).select(F.col("u").alias("node"), F.col("v").alias("component")).distinct()

@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from statflow.plans.durable import checkpoint
+from statflow.plans.durable import materialize
 
 FAN = 64
 S = TypeVar("S")
@@ -86,13 +86,13 @@ def aggregate(df: DataFrame, agg: Aggregate, cols: Sequence[str], by: Sequence[s
 
 def iterate(state: Any, step: Callable[[Any, int], tuple[Any, bool]], max_iter: int = 100) -> tuple[Any, int, bool]:
     """Calls ``step(state, i)`` until it says it is done: (state, passes, converged). States that are
-    DataFrames are checkpointed after each pass."""
+    DataFrames are written to the shared folder after each pass."""
     if max_iter < 1:
         raise ValueError("max_iter must be positive")
     for i in range(1, max_iter + 1):
         state, done = step(state, i)
         if isinstance(state, DataFrame):
-            state = checkpoint(state)
+            state = materialize(state, "state")
         if done:
             return state, i, True
     return state, max_iter, False

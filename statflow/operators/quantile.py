@@ -49,31 +49,42 @@ def binned_quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float] = (
                 jobs.append([c, r, first[f"lo_{c}"], first[f"hi_{c}"], 0, n])  # the rank, the range, values below it, values in it
     ranks: dict[tuple[str, int], float] = {}
     todo = {(j[0], j[1]): j for j in jobs}
+
+    def ranges(keys) -> dict[tuple, int]:
+        """Ranges (column, lo, hi) numbered: ranks that lie in one share it."""
+        return {r: n for n, r in enumerate(dict.fromkeys((todo[k][0], todo[k][2], todo[k][3]) for k in keys))}
+
+    def inside(found: dict[tuple, int], *more) -> DataFrame:
+        parts = [F.when(x[c].between(lo, hi), F.struct(F.lit(n).alias("k"), *[f(c, lo, hi) for f in more], x[c].alias("x"))) for (c, lo, hi), n in found.items()]
+        return df.select(F.explode(F.filter(F.array(*parts), lambda p: p.isNotNull())).alias("p"))
+
     for _ in range(max_passes):
         for key, (_, _, lo, hi, _, _) in list(todo.items()):
             if lo == hi:
                 ranks[key] = lo
                 del todo[key]
         # Ranges that are small by now are read in one job: at most ``threshold`` values each.
-        small = [k for k, job in todo.items() if job[5] <= threshold]
-        if small:
-            taken = [F.when(x[todo[k][0]].between(todo[k][2], todo[k][3]), F.struct(F.lit(n).alias("k"), x[todo[k][0]].alias("x"))) for n, k in enumerate(small)]
+        if small := [k for k, job in todo.items() if job[5] <= threshold]:
+            found = ranges(small)
             values: dict[int, list[float]] = {}
-            for r in df.select(F.explode(F.array(*taken)).alias("p")).where("p is not null").select("p.k", "p.x").collect():
+            for r in inside(found).select("p.k", "p.x").collect():
                 values.setdefault(r["k"], []).append(r["x"])
-            for n, k in enumerate(small):
-                ranks[k] = sorted(values[n])[k[1] - todo.pop(k)[4]]
+            for v in values.values():
+                v.sort()
+            for k in small:
+                c, rank, lo, hi, below, _ = todo.pop(k)
+                ranks[k] = values[found[c, lo, hi]][rank - below]
         if not todo:
             break
-        parts = []
-        for k, (c, _, lo, hi, _, _) in enumerate(todo.values()):
-            at = F.least(F.lit(bins - 1), F.floor((x[c] - lo) / ((hi - lo) / bins)).cast("int"))
-            parts.append(F.when(x[c].between(lo, hi), F.struct(F.lit(k).alias("k"), at.alias("b"), x[c].alias("x"))))
-        counted = df.select(F.explode(F.array(*parts)).alias("p")).where("p is not null").groupBy("p.k", "p.b")
-        found = counted.agg(F.count(F.lit(1)).alias("n"), F.min("p.x").alias("lo"), F.max("p.x").alias("hi")).collect()  # at most bins rows a quantile
-        for k, job in enumerate(list(todo.values())):
+        found = ranges(todo)
+        at = lambda c, lo, hi: F.least(F.lit(bins - 1), F.floor((x[c] - lo) / ((hi - lo) / bins)).cast("int")).alias("b")
+        counted = inside(found, at).groupBy("p.k", "p.b").agg(F.count(F.lit(1)).alias("n"), F.min("p.x").alias("lo"), F.max("p.x").alias("hi"))
+        bins_of: dict[int, list] = {}
+        for row in sorted(counted.collect(), key=lambda r: r["b"]):  # at most ``bins`` rows a range
+            bins_of.setdefault(row["k"], []).append(row)
+        for job in todo.values():
             below = job[4]
-            for row in sorted((f for f in found if f["k"] == k), key=lambda f: f["b"]):
+            for row in bins_of[found[job[0], job[2], job[3]]]:
                 if job[1] < below + row["n"]:
                     job[2:] = [row["lo"], row["hi"], below, row["n"]]
                     break

@@ -1,9 +1,10 @@
 """Durable intermediates.
 
-Everything that cuts lineage goes to the folder the cluster names in
-``spark.checkpoint.dir``, which all executors share, so that a lost executor
-costs a recomputation of its running tasks and nothing else. Only where the
-setting is absent (tests, notebooks) a folder of our own is used.
+Everything that cuts lineage goes to a folder that all executors share, so that
+a lost executor costs a recomputation of its running tasks and nothing else: the
+checkpoint folder of the context where one is set, else the one the cluster names in
+``spark.checkpoint.dir``. Only on a local master (tests, notebooks) a folder of
+our own serves where neither is set; elsewhere that is an error.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import atexit
 import contextlib
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,39 +24,67 @@ _written: list[str] = []
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder; sets the context's checkpoint folder where unset."""
     global _own
+    context = spark.sparkContext
+    chosen = context._jsc.sc().getCheckpointDir()
+    if chosen.isDefined():
+        return chosen.get()
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if context.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         _own = _own or tempfile.mkdtemp(prefix="statflow-")
         folder = f"file://{_own}"
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Reliable eager checkpoint of a small iterative state."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    context.setCheckpointDir(folder)
+    return context._jsc.sc().getCheckpointDir().get()
 
 
 def materialize(df: DataFrame, name: str = "part") -> DataFrame:
     """Writes ``df`` as Parquet under the shared folder and reads it back.
 
-    Smaller than a checkpoint (columnar, compressed) and prunable: later
-    readers load only the columns they use.
+    Smaller than a checkpoint (columnar, compressed) and prunable: later readers
+    load only the columns they use, and its size tells Catalyst whether a join may
+    broadcast it.
     """
     path = f"{checkpoint_dir(df.sparkSession)}/statflow/{name}-{uuid.uuid4().hex}"
     _written.append(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._statflow_path = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a materialized frame that nothing reads any more: the old state of a loop."""
+    path = getattr(df, "_statflow_path", None)
+    if path in _written:
+        _written.remove(path)
+        _delete(df.sparkSession, path)
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes at its end what ``materialize`` has written inside, but for frames passed to the function it gives."""
+    before, kept = set(_written), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.add(getattr(df, "_statflow_path", None))
+        return df
+
+    yield keep
+    for path in [p for p in _written if p not in before and p not in kept]:
+        _written.remove(path)
+        _delete(spark, path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
     """Deletes what ``materialize`` has written. DataFrames that still read it fail afterwards."""
     while _written:
-        path = spark._jvm.org.apache.hadoop.fs.Path(_written.pop())
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(spark, _written.pop())
 
 
 @atexit.register

@@ -2,24 +2,43 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statflow.plans.durable import materialize
 
 BROADCAST_BYTES = 8 << 20
-SALTS = 16
+#: A key with more than one in SPREAD of the rows is split, into parts of that size.
+SPREAD = 2000
+
+
+def _bytes(df: DataFrame):
+    """About how many bytes a row takes in memory."""
+    total = F.lit(16)
+    for c, t in df.dtypes:
+        total += F.lit(16) if t in ("boolean", "tinyint", "smallint", "int", "bigint", "float", "double", "date", "timestamp") else 4 * F.coalesce(F.length(F.to_json(F.struct(c))), F.lit(4))
+    return total
 
 
-def join_lookup(big: DataFrame, lookup: DataFrame, on: str, salt_by: str, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
-    """``big`` joined with ``lookup`` (unique on ``on``). The lookup is written and
-    measured: up to ``limit`` bytes it is broadcast; beyond, rows of ``big`` are dealt
-    over SALTS tasks a key by a hash of ``salt_by`` and the lookup is repeated as often."""
+def join_lookup(big: DataFrame, lookup: DataFrame, on: str | Sequence[str], salt_by: str, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
+    """``big`` joined with ``lookup`` (unique on ``on``). The lookup is written and measured: up to
+    ``limit`` bytes it is broadcast. Beyond, the rows of ``big`` are counted by key (``big`` is read
+    once more for that); keys with over one in SPREAD of them - SPREAD at most, so they are
+    broadcast - are dealt by a hash of ``salt_by`` into parts of about that many rows, and their
+    lookup rows repeated as often. No other key is larger than such a part."""
+    on = [on] if isinstance(on, str) else list(on)
     lookup = materialize(lookup, "lookup")
-    width = sum(F.coalesce(F.length(F.col(c).cast("string")), F.lit(0)) * 4 if t == "string" else F.lit(16) for c, t in lookup.dtypes)
-    size = lookup.agg(F.sum(width + 16)).first()[0] or 0
+    size = lookup.agg(F.sum(_bytes(lookup))).first()[0] or 0
     if size <= limit:
         return big.join(F.broadcast(lookup), on, how)
-    salted = big.withColumn("__salt", F.pmod(F.xxhash64(salt_by), F.lit(SALTS)).cast("int"))
-    copies = lookup.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return salted.join(copies, [on, "__salt"], how).drop("__salt")
+    counts = materialize(big.groupBy(*on).agg(F.count(F.lit(1)).alias("__n")), "keys")
+    part = (counts.agg(F.sum("__n")).first()[0] or 0) // SPREAD + 1
+    hot = counts.where(F.col("__n") > part).select(*[F.col(c).alias(f"__{c}") for c in on], F.ceil(F.col("__n") / part).cast("int").alias("__parts"))
+    same = lambda df: [df[c].eqNullSafe(F.col(f"__{c}")) for c in on]  # noqa: E731  keys that are null match nothing but are dealt as well
+    drop = [*[f"__{c}" for c in on], "__parts"]
+    salt = F.pmod(F.xxhash64(salt_by), F.coalesce("__parts", F.lit(1)).cast("long")).cast("int")
+    salted = big.join(F.broadcast(hot), same(big), "left").withColumn("__salt", salt).drop(*drop)
+    copies = lookup.join(F.broadcast(hot), same(lookup), "left").withColumn("__salt", F.explode(F.sequence(F.lit(0), F.coalesce("__parts", F.lit(1)) - 1))).drop(*drop)
+    return salted.join(copies, [*on, "__salt"], how).drop("__salt")

@@ -1,4 +1,4 @@
-"""Additive statistics: one vector per task, summed by Spark, read as one array."""
+"""Additive sums: one vector per task, summed by Spark, read as one array."""
 
 from __future__ import annotations
 
