@@ -29,6 +29,9 @@ extra columns are not carried.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable, Iterator
+
 import numpy as np
 import pandas as pd
 import xxhash
@@ -37,6 +40,7 @@ from pyspark.sql import functions as F
 
 from statflow.operators.components import star_components
 from statflow.plans.durable import materialize
+from statflow.plans.lookup import join_lookup
 
 SHINGLE = 4
 RADIUS = 4
@@ -45,13 +49,18 @@ BLOCK = 32_768
 TILE = 256
 WIDE = 512
 #: For near-duplicates by similarity. Shingle sets of similarity s differ in a share
-#: acos(2 s / (1 + s)) / pi of the bits: 0.151 at 0.8, give or take 0.016 over 512 bits.
-#: Pairs within CLOSE are mostly similar, few similar ones are beyond MAYBE; the shingles decide.
+#: acos(2 s / (1 + s)) / pi of the bits: 0.151 at 0.8, give or take 0.016 over 512 bits. Pairs within
+#: FIRST bits of the first word and MAYBE of all are candidates - at 0.8 that is more than four and five
+#: deviations off, so three pairs in 100 000 are missed there and fewer above; the shingles decide.
 WIDTH = 8
 SIMILARITY = 0.8
+FIRST = 22
+MAYBE = 118
+#: At most this many shingles to a block, so that a task may hold those of two blocks.
+HELD = 4_000_000
+#: Bounds where sketches alone decide (``similar``).
 NEAR = 18
 CLOSE = 90
-MAYBE = 110
 _ONES = np.uint64(0x0101010101010101)
 _STEPS = np.array([[k * 0x9E3779B97F4A7C15 % 2**64] for k in range(WIDTH)], np.uint64)
 
@@ -249,11 +258,10 @@ def _sketch(hashes: np.ndarray) -> bytes:
     return _majority(x ^ (x >> np.uint64(31))).tobytes()
 
 
-def similar(a: np.ndarray, b: np.ndarray | None, near: int = NEAR, close: int = CLOSE, groups: np.ndarray | None = None) -> np.ndarray:
-    """Spanning forest, as (n, 2) positions in a followed by b (in a alone if None), of the pairs of
-    sketches that differ in at most ``near`` bits of the first word and ``close`` bits in all. With
-    ``groups``, one number a row, all such pairs of rows of different groups. Tiles are in order of the first word's population count; pairs of tiles whose counts lie
-    further apart than ``near`` are skipped."""
+def _near(a: np.ndarray, b: np.ndarray | None, near: int, close: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Positions (in a followed by b, in a alone if None) of the pairs of sketches that differ in at most
+    ``near`` bits of the first word and ``close`` bits in all, tile by tile. Tiles are in order of
+    the first word's population count; pairs of tiles whose counts lie further apart than ``near`` are skipped."""
     same = b is None
     order_a = np.argsort(np.bitwise_count(a[:, 0]), kind="stable")
     order_b = order_a if same else np.argsort(np.bitwise_count(b[:, 0]), kind="stable") + len(a)
@@ -261,17 +269,7 @@ def similar(a: np.ndarray, b: np.ndarray | None, near: int = NEAR, close: int =
     xa, xb = rows[order_a], rows[order_b]
     ones_a, ones_b = np.bitwise_count(xa[:, 0]).astype(int), np.bitwise_count(xb[:, 0]).astype(int)
     fa, fb = np.ascontiguousarray(xa[:, 0]), np.ascontiguousarray(xb[:, 0])
-    parent = np.arange(len(rows))
     words, bits = np.empty((WIDE, WIDE), np.uint64), np.empty((WIDE, WIDE), np.uint8)
-    edges: list[tuple[int, int]] = []
-    pairs: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-
-    def find(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
     for a0 in range(0, len(fa), WIDE):
         a1 = min(a0 + WIDE, len(fa))
         left = fa[a0:a1, None]
@@ -288,87 +286,186 @@ def similar(a: np.ndarray, b: np.ndarray | None, near: int = NEAR, close: int =
                 p, q = p[p < q], q[p < q]
             if not len(p):
                 continue
-            p, q = p + a0, q + b0  # candidates: a few in ten thousand pairs of unlike texts
+            p, q = p + a0, q + b0  # a few in a thousand pairs of unlike texts
             ok = np.bitwise_count(xa[p] ^ xb[q]).sum(axis=1) <= close
-            p, q = order_a[p[ok]], order_b[q[ok]]
-            if groups is not None:
-                apart = groups[p] != groups[q]
-                pairs.append(np.stack([p[apart], q[apart]], axis=1))
-                continue
-            if len(p) > 64:  # a group of many near copies: look at one link per pair of trees
-                ra, rb = {x: find(x) for x in np.unique(p).tolist()}, {x: find(x) for x in np.unique(q).tolist()}
-                u, v = np.array([ra[x] for x in p.tolist()]), np.array([rb[x] for x in q.tolist()])
-                _, at = np.unique(u * len(rows) + v, return_index=True)
-                p, q = p[at], q[at]
-            for i, j in zip(p.tolist(), q.tolist(), strict=True):
-                u, v = find(i), find(j)
-                if u != v:
-                    parent[max(u, v)] = min(u, v)
-                    edges.append((i, j))
-    return np.concatenate(pairs) if groups is not None else np.array(edges, np.int64).reshape(-1, 2)
-
-
-def _candidates(classes: DataFrame, blocks: int, close: int, every: bool) -> DataFrame:
-    """``classes``: id, sketch, component. Edges u, v: a spanning forest of the pairs within ``close``,
-    or ``every`` such pair of different components."""
-    dealt = classes.withColumn("b", F.pmod(F.xxhash64("sketch"), F.lit(blocks)).cast("int")).withColumn("o", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    dealt = dealt.select("id", "sketch", "component", F.least("b", "o").alias("p"), F.greatest("b", "o").alias("q"), (F.col("b") > F.col("o")).alias("second"))
-
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        side = pdf["second"].to_numpy()
+            if ok.any():
+                yield order_a[p[ok]], order_b[q[ok]]
+
+
+class _Forest:
+    """Trees over rows, as one label a row; the links that joined them."""
+
+    def __init__(self, n: int):
+        self.label = np.arange(n)
+        self.links: list[tuple[int, int]] = []
+
+    def join(self, i: int, j: int) -> None:
+        u, v = self.label[i], self.label[j]
+        if u != v:
+            self.label[self.label == max(u, v)] = min(u, v)
+            self.links.append((i, j))
+
+    def edges(self) -> np.ndarray:
+        return np.array(self.links, np.int64).reshape(-1, 2)
+
+
+def similar(a: np.ndarray, b: np.ndarray | None, near: int = NEAR, close: int = CLOSE) -> np.ndarray:
+    """Spanning forest, as (n, 2) positions, of the pairs that ``_near`` finds."""
+    trees = _Forest(len(a) + (0 if b is None else len(b)))
+    for p, q in _near(a, b, near, close):
+        for i in np.unique(p):
+            js = q[p == i]
+            for j in js[trees.label[js] != trees.label[i]]:
+                trees.join(i, j)
+    return trees.edges()
+
+
+def alike(sets: list[np.ndarray], sketches: np.ndarray, second: np.ndarray | None, near: int = FIRST, close: int = MAYBE, similarity: float = SIMILARITY) -> np.ndarray:
+    """Spanning forest, as (n, 2) positions, of the candidates whose sets (ascending hashes, not
+    empty) have the similarity; between the rows marked ``second`` and the others, or all if None. Only
+    candidates of different trees are looked at, all of one row at once."""
+    order = np.arange(len(sets)) if second is None else np.concatenate([np.flatnonzero(~second), np.flatnonzero(second)])
+    cut = len(sets) if second is None else int((~second).sum())
+    trees = _Forest(len(sets))
+    rows = sketches[order]
+    sizes = np.array([len(s) for s in sets])
+    thousandths = round(similarity * 1000)
+    for p, q in _near(rows[:cut], None if second is None else rows[cut:], near, close):
+        p, q = order[p], order[q]
+        at = np.argsort(p, kind="stable")
+        p, q = p[at], q[at]
+        heads = np.flatnonzero(np.append(True, p[1:] != p[:-1])) if len(p) else []
+        for a, b in zip(heads, [*heads[1:], len(p)], strict=True):
+            i, js = p[a], q[a:b]
+            # No set can share more than the smaller one holds.
+            fits = np.minimum(sizes[i], sizes[js]) * 1000 >= thousandths * np.maximum(sizes[i], sizes[js])
+            js = js[fits & (trees.label[js] != trees.label[i])]
+            for c in range(0, len(js), 256):
+                part = js[c : c + 256]
+                part = part[trees.label[part] != trees.label[i]]
+                if not len(part):
+                    continue
+                joined = np.concatenate([sets[j] for j in part])
+                k = np.minimum(np.searchsorted(sets[i], joined), sizes[i] - 1)
+                common = np.add.reduceat((sets[i][k] == joined).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[part])[:-1]]))
+                # In whole numbers of a thousandth: 4 of 5 in common is 0.8.
+                for j in part[common * 1000 >= thousandths * (sizes[i] + sizes[part] - common)]:
+                    trees.join(i, j)
+    return trees.edges()
+
+
+def _free(df: DataFrame, name: str) -> str:
+    while name in df.columns:
+        name += "_"
+    return name
+
+
+def _deal(classes: DataFrame, block: int, held: int, similarity: float) -> DataFrame | None:
+    """``classes``: id, size (> 0), ... once for each pair (a, b) of blocks that may hold candidates of it: a, b,
+    second (of block b). Sets of a similarity have sizes within it, so with cells of sizes a factor
+    1 / similarity wide only a cell and the next one meet. Cells are cut by hash into blocks of at most
+    ``block`` rows and about ``held`` shingles."""
+    width = math.log(1 / similarity) * (1 + 1e-6)  # a little more, for sizes exactly that far apart
+    cells = classes.withColumn("x", F.floor(F.log("size") / width).cast("int"))
+    # About a hundred cells, whatever the data: sizes grow by a factor from one to the next.
+    n = {r["x"]: max(-(-r["n"] // block), -(-r["s"] // held)) for r in cells.groupBy("x").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("s")).collect()}
+    steps = [(x, y, n[x], n[y], int(y < x)) for x in sorted(n) for y in (x - 1, x, x + 1) if y in n]
+    if not steps:
+        return None
+    plan = F.broadcast(classes.sparkSession.createDataFrame(steps, "x int, y int, n int, m int, back int"))
+    met = cells.join(plan, "x").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n").cast("long")).cast("int"))
+    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
+    code = lambda x, k: F.col(x).cast("long") * (1 << 32) + F.col(k)
+    here, there = code("x", "own"), code("y", "other")
+    # A cell meets itself: block i with every j >= i.
+    flip = F.when(F.col("x") == F.col("y"), F.col("own") > F.col("other")).otherwise(F.col("back") == 1)
+    keep = [c for c in classes.columns if c != "size"]
+    return met.select(*keep, F.when(flip, there).otherwise(here).alias("a"), F.when(flip, here).otherwise(there).alias("b"), flip.alias("second"))
+
+
+def near_duplicates(classes: DataFrame, texts: Callable[[DataFrame], DataFrame], block: int = BLOCK, held: int = HELD, similarity: float = SIMILARITY) -> DataFrame:
+    """``classes``: durable id, size, sketch of distinct shingle sets; ``texts`` gives id and set (binary, ascending
+    hashes) of the ids it gets. Edges u, v that connect what pairs of the similarity connect. First each pair of
+    blocks is compared by sketches and names the rows - never the pairs - that have a candidate; then
+    the shingles of these rows meet there, and a task checks the candidates that are not
+    connected yet."""
+    none = classes.sparkSession.createDataFrame([], "u long, v long")
+    dealt = _deal(classes.where("size > 0"), block, held, similarity)
+    if dealt is None:
+        return none
+
+    def sides(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
         rows = np.frombuffer(b"".join(pdf["sketch"]), np.uint64).reshape(-1, WIDTH)
-        ids, groups = pdf["id"].to_numpy(), pdf["component"].to_numpy()
-        if pdf["p"].iat[0] == pdf["q"].iat[0]:
-            found = similar(rows, None, close=close, groups=groups if every else None)
-        elif side.any() and not side.all():
-            ids, groups = np.concatenate([ids[~side], ids[side]]), np.concatenate([groups[~side], groups[side]])
-            found = similar(rows[~side], rows[side], close=close, groups=groups if every else None)
-        else:
-            found = np.zeros((0, 2), np.int64)
+        return rows, None if pdf["a"].iat[0] == pdf["b"].iat[0] else pdf["second"].to_numpy()
+
+    def name(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, second = sides(pdf)
+        hit = np.zeros(len(rows), bool)
+        if second is None:
+            for p, q in _near(rows, None, FIRST, MAYBE):
+                hit[p] = hit[q] = True
+        elif second.any() and not second.all():
+            order = np.concatenate([np.flatnonzero(~second), np.flatnonzero(second)])
+            for p, q in _near(rows[~second], rows[second], FIRST, MAYBE):
+                hit[order[p]] = hit[order[q]] = True
+        return pdf.loc[hit, ["a", "b", "second", "id"]]
+
+    named = materialize(dealt.groupBy("a", "b").applyInPandas(name, "a long, b long, second boolean, id long"), "candidates")
+    sets = materialize(texts(named.select("id").distinct()), "shingles")
+    held_rows = named.join(sets, "id").join(classes.select("id", "sketch"), "id")
+
+    def check(pdf: pd.DataFrame) -> pd.DataFrame:
+        rows, second = sides(pdf)
+        ids = pdf["id"].to_numpy()
+        found = alike([np.frombuffer(x, np.uint64) for x in pdf["set"]], rows, second, similarity=similarity)
         return pd.DataFrame(ids[found], columns=["u", "v"])
 
-    return dealt.groupBy("p", "q").applyInPandas(compare, "u long, v long")
+    return held_rows.groupBy("a", "b").applyInPandas(check, "u long, v long")
 
 
-def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, block: int = 2 * BLOCK) -> DataFrame:
+def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, block: int = BLOCK, held: int = HELD, similarity: float = SIMILARITY) -> DataFrame:
     """``docs`` without near-duplicates, texts whose sets of word shingles have a Jaccard similarity of
-    SIMILARITY or more: of each group one row stays, that of its least doc_id (rows without an id all
-    stay; of repeated rows of that id one stays). Sketches of WIDTH fingerprints find candidates, tile
-    by tile; the texts' own shingles decide. A large group of near copies would have the square of its
-    size in candidates, so first a spanning forest of the pairs within CLOSE is settled, then
-    every pair within MAYBE of what is still apart. Only texts with a candidate are read again."""
-
-    @F.pandas_udf("sketch binary, same binary")
+    ``similarity`` or more: of each group - all that such links connect - one row stays, that of the least
+    doc_id, of several rows of it the one whose id and text have the least digest, of rows alike in both one
+    (by a digest of its columns). Texts without words are alike. Rows are told apart by id and text, so one id
+    may stand for several texts; rows without an id cannot be named, take no part and all stay. Sketches of WIDTH fingerprints find candidates, tile by tile
+    (see ``_near``); the shingles decide. Texts are read again only where they have a candidate, and
+    shuffled only if what goes is too much to broadcast."""
+
+    @F.pandas_udf("sketch binary, same binary, size int")
     def of(texts: pd.Series) -> pd.DataFrame:
         sets = [np.unique(_shingles(t, shingle)) for t in texts]
-        return pd.DataFrame({"sketch": [_sketch(x) for x in sets], "same": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]})
+        return pd.DataFrame({"sketch": [_sketch(x) for x in sets], "same": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "size": np.array([len(x) for x in sets], np.int32)})
 
-    @F.pandas_udf("array<long>")
+    @F.pandas_udf("binary")
     def shingles(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(_shingles(t, shingle)).view(np.int64) for t in texts])
-
-    full = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    marked = full.select("doc_id", of("text").alias("m")).select("doc_id", "m.*")
-    # Texts of the same shingles are one class; the id stands for it.
-    classes = materialize(marked.groupBy("same").agg(F.min("doc_id").alias("id"), F.first("sketch").alias("sketch")).select("id", "sketch"), "sketches")
-    blocks = max(1, -(-classes.count() // block))
-
-    def verified(found: DataFrame) -> DataFrame:
-        edges = materialize(found.distinct(), "candidates")
-        ends = edges.select(F.col("u").alias("doc_id")).union(edges.select("v")).distinct()
-        sets = full.join(ends, "doc_id", "left_semi").select("doc_id", shingles("text").alias("s")).dropDuplicates()
-        sets = materialize(sets, "shingles")
-        both = edges.join(sets.toDF("u", "a"), "u").join(sets.toDF("v", "b"), "v")
-        common, total = F.size(F.array_intersect("a", "b")), F.size("a") + F.size("b")
-        # In whole numbers of a thousandth: 4 of 5 in common is 0.8.
-        ok = common * 1000 >= F.lit(round(SIMILARITY * 1000)) * (total - common)
-        return materialize(both.where(ok).select("u", "v"), "links")
-
-    sure = verified(_candidates(classes.withColumn("component", F.col("id")), blocks, CLOSE, False))
-    stars = star_components(sure).withColumnRenamed("node", "id")
-    apart = materialize(classes.join(stars, "id", "left").withColumn("component", F.coalesce("component", "id")), "apart")
-    edges = sure.union(verified(_candidates(apart, blocks, MAYBE, True)))
-    found = star_components(edges).where("node <> component").select(F.col("node").alias("id"))
-    heads = materialize(classes.select("id").join(found, "id", "left_anti").withColumnRenamed("id", "__head"), "heads")
-    kept = docs.join(heads, F.col(doc_id) == F.col("__head"), "left_semi").dropDuplicates([doc_id])
-    return kept.unionByName(docs.where(F.col(doc_id).isNull()))
+        return pd.Series([np.unique(_shingles(t, shingle)).tobytes() for t in texts])
+
+    known = lambda c, mark: F.coalesce(F.concat(F.lit(mark), c.cast("string")), F.lit("-"))
+    key = _free(docs, "row_key")
+    keyed = docs.withColumn(key, F.unhex(F.md5(F.concat_ws(":", known(F.col(doc_id), "i"), known(F.col(text), "t")))))
+    marked = keyed.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(key).alias("key"), of(F.col(text)).alias("m"))
+    marked = materialize(marked.select("doc_id", "key", "m.*"), "marks")
+    # Texts of the same shingles are one class. Once written, its number stands.
+    head = F.struct("doc_id", "key")
+    classes = marked.groupBy("same").agg(F.min(head).alias("head"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))
+    classes = materialize(classes.withColumn("id", F.monotonically_increasing_id()).drop("same"), "classes")
+
+    def texts(ids: DataFrame) -> DataFrame:
+        heads = classes.join(ids, "id").select(F.col("head.key").alias(key), F.col("id").alias("__id"))
+        rows = join_lookup(keyed.select(key, F.col(text).alias("__text")), heads, key, "__text", "inner")
+        return rows.select(F.col("__id").alias("id"), shingles("__text").alias("set")).dropDuplicates(["id"])
+
+    stars = star_components(near_duplicates(classes.select("id", "size", "sketch"), texts, block, held, similarity)).withColumnRenamed("node", "id")
+    groups = classes.select("id", "head").join(stars, "id", "left").groupBy(F.coalesce("component", "id")).agg(F.min("head").alias("head"))
+    heads = groups.select(F.col("head.key").alias("key"))
+    rows = marked.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    rows = materialize(rows.join(heads.withColumn("stays", F.lit(True)), "key", "left"), "rows")
+    gone = rows.where("stays is null").select(F.col("key").alias(key))
+    kept = join_lookup(keyed, gone, key, doc_id, "left_anti")
+    many = materialize(rows.where("stays and n > 1").select(F.col("key").alias(key)), "repeated")
+    if not many.isEmpty():
+        least = F.min_by(F.struct(*[F.col(c) for c in docs.columns]), F.xxhash64(F.to_json(F.struct(*docs.columns))))
+        several = join_lookup(keyed, many, key, doc_id, "left_semi").groupBy(key).agg(least.alias("row")).select("row.*")
+        return join_lookup(kept, many, key, doc_id, "left_anti").drop(key).unionByName(several)
+    return kept.drop(key)

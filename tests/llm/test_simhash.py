@@ -111,3 +111,44 @@ def test_keep_one_checks_the_similarity(spark, sf_dir, block):
     want = brute.components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
     kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()}
     assert kept == {i for i in want if want[i] == i}
+
+
+def test_keep_one_goes_by_rows(spark):
+    """Rows that share an id are told apart by their texts; of equal rows one stays; rows without an id all stay."""
+    a, b = " ".join(f"a{i}" for i in range(60)), " ".join(f"b{i}" for i in range(60))
+    c = " ".join(f"c{i}" for i in range(60))
+    rows = [(1, a, 1), (5, a, 2), (5, b, 3), (None, b, 4), (None, c, 5), (None, c, 6), (7, None, 7), (8, " ", 8), (9, "x y", 9), (9, "x y", 9), (10, "x y z", 10), (11, a + " more", 11)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row_key int")
+    for parts in (1, 5):
+        kept = simhash.keep_one(docs.repartition(parts)).collect()
+        assert sorted((r["doc_id"] or 0, r["text"]) for r in kept if r["text"]) == sorted([(1, a), (5, b), (0, b), (0, c), (0, c), (9, "x y"), (10, "x y z")])
+        assert [r["row_key"] for r in kept if r["text"] is None] == [7] and len(kept) == 8
+
+
+@pytest.mark.parametrize("block,held", [(40, 10**6), (10**5, 2000)])
+def test_keep_one_matches_true_similarity(spark, block, held):
+    """Planted copies of every similarity from 0.6 on, groups that hang together by chains, sizes exactly 4 to 5."""
+    rng = np.random.default_rng(11)
+    docs = []
+    for g in range(60):
+        words = [f"g{g}w{i}" for i in range(int(rng.integers(20, 400)))]
+        docs.append(words)
+        for _ in range(4):
+            at = docs[-1] if rng.random() < 0.5 else words
+            docs.append([w if rng.random() > rng.choice([0.005, 0.02, 0.04, 0.06]) else f"n{rng.integers(10**9)}" for w in at])
+        docs += [words[: len(words) * 4 // 5], words + [f"t{i}" for i in range(len(words) // 4)]]
+    docs += [[f"k{i}" for i in range(n)] for n in (8, 9, 4, 5, 6)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(docs)]
+    sets = [(i, set(simhash._shingles(t, 5).tolist())) for i, t in rows]
+    want = brute.components(sets, lambda a, b: 5 * len(a & b) >= 4 * len(a | b))
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string"), block=block, held=held).collect()}
+    assert kept == {i for i in want if want[i] == i}
+
+
+def test_unlike_templates_emit_no_pairs():
+    """Many texts at 0.7 to each other: all are candidates, none links."""
+    rng = np.random.default_rng(2)
+    base = rng.integers(0, 2**64, 280, np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 2**64, 60, np.uint64)])) for _ in range(700)]
+    rows = np.stack([np.frombuffer(simhash._sketch(s), np.uint64) for s in sets])
+    assert len(simhash.alike(sets, rows, None)) == 0 and len(simhash.alike(sets, rows, None, similarity=0.65)) == 699
