@@ -102,3 +102,46 @@ def test_targets(spark, sizes):
     rows = mixing.targets(spark.createDataFrame(list(sizes.items()), "source string, source_size long")).collect()
     want = _fill(sizes)
     assert {r["source"]: pytest.approx(want[r["source"]], rel=1e-12) for r in rows} == {r["source"]: r["target"] for r in rows}
+
+
+def test_loose_candidates_are_judged(spark):
+    """Planted loose candidates, true ones in a telling or a free place, others after words that number
+    something else: what is added is nearly all true, and nearly all that is true is added."""
+    import random
+
+    rng = random.Random(5)
+    d = lambda n, first="0123456789": rng.choice(first) + "".join(rng.choices("0123456789", k=n - 1))
+    phone = lambda sep: sep.join((d(3, "23456789"), d(3, "23456789"), d(4)))
+    rows, good, bad = [], set(), set()
+    for i in range(600):
+        kind = i % 6
+        true = i % 2 == 0
+        word = rng.choice(["Please call", "mobile:", "Telefon", "phone"]) if true else rng.choice(["build", "part no", "rev", "order #", "serial", "version"])
+        p = phone(rng.choice(".- ")) if kind < 4 or true else d(3, "01") + "." + d(3, "01") + "." + d(4)
+        if true and kind == 4:
+            p, word = f"{rng.choice(['ann', 'bob.k'])} [at] mail{i} [dot] com", "write to"
+        rows.append((i, f"Some words here {word} {p} and so on."))
+        (good if true else bad).add(i)
+    rows += [(1000 + i, f"mail a{i}@b.com or +1 743 555 {d(4)} from 10.1.2.{i % 250}, 4111 1111 1111 {d(4)}") for i in range(400)]
+    rows.append((2000, "build 415.555.2671 rev 800.555.0199 and part no 123.456.7890"))
+    added = {r["doc_id"]: r["n_added"] for r in pii.detect(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    hit, wrong = sum(added[i] > 0 for i in good), sum(added[i] > 0 for i in bad)
+    assert hit >= 0.95 * len(good) and wrong <= 0.05 * len(bad) and added[2000] == 0
+    assert pii.detect(spark.createDataFrame(rows[-1:], "doc_id long, text string")).first()["n_added"] == 0  # the priors alone say so
+
+
+def test_expression_is_the_classifier(spark):
+    model = pii.SpanModel.fit({(3, 0b1000010010 | 1 << 7): 40, (3, 0b1000010110): 25, (0, 16 + 2 + 4): 9, (3, 1 + 2 + 4): 500})
+    votes = [(k, v) for k in range(4) for v in range(16, 1 << 14, 37) if v & 16 and not (v >> 8 & 1 and v >> 9 & 1)]
+    df = spark.createDataFrame(votes, "k int, vote int").withColumn("x", F.struct("k", "vote"))
+    for r in df.select("k", "vote", model.accepts(F.col("x")).alias("yes")).collect():
+        assert r["yes"] == (model.probability(r["k"], r["vote"]) >= 0.5)
+
+
+def test_many_spans_in_one_text(spark):
+    """Loose and strict spans by the thousand, overlaps included, in near linear time."""
+    text = "call +1 743 555 3824 or 743-555-3824, 1.2.3.4 then (743) 555-3824@x.com. " * 4000
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    r = pii.detect(docs).first()
+    assert [r["n_email"], r["n_ip"], r["n_phone"]] == [4000, 4000, 4000] and r["n_added"] == 4000
+    assert pii.redact(docs).first()["text"].startswith("call <phone> or <phone>, <ip> then (743) <email>. call")
