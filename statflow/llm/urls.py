@@ -9,9 +9,11 @@ Patterns: ``domain`` (the host or a parent of it), ``host`` (this host alone) an
 ``prefix`` (host and leading path segments). A capture is looked up by the few
 keys it can match; of the active patterns the longest decides, and of an
 allowance and a block of one length the block. The as-of join is an equality on
-the key, so it never pairs captures with unrelated entries. Intervals are
-written and measured: broadcast up to a bound, else joined with captures dealt
-over salted keys, as a few domains hold most captures.
+the key, so it never pairs captures with unrelated entries. Each URL and time
+is asked once, however many captures have it; verdicts then meet the captures. Both joins
+measure their lookup: it is broadcast up to a bound; beyond, keys that hold many rows - a few
+domains hold most captures - are dealt over as many tasks as their count asks for.
+The intervals of a pattern, a few a day at most, are one row.
 
 Edge cases: a null or malformed URL has no host, matches nothing and is kept; a
 null fetch time lies in no interval; entries without a pattern or date are void;
@@ -46,7 +48,7 @@ def keys_of(url: Column) -> Column:
         labels = F.split(h, r"\.")
         domains = let(labels, lambda p: F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.concat(F.lit("domain:"), F.array_join(F.slice(p, i, F.size(p)), "."))))
         prefixes = let(path, lambda p: F.when(F.size(p) > 0, F.transform(F.sequence(F.lit(1), F.size(p)), lambda i: F.concat(F.lit("prefix:"), h, F.lit("/"), F.array_join(F.slice(p, F.lit(1), i), "/")))).otherwise(F.array().cast("array<string>")))
-        return F.when(h == "", F.array(F.lit("none:"))).otherwise(F.concat(F.array(F.lit("none:"), F.concat(F.lit("host:"), h)), domains, prefixes))
+        return F.when(h == "", F.array().cast("array<string>")).otherwise(F.concat(F.array(F.concat(F.lit("host:"), h)), domains, prefixes))
 
     return let(host, of)
 
@@ -66,15 +68,13 @@ def judge(captures: DataFrame, entries: DataFrame, page_id: str = "page_id", url
     """Per capture: page_id, url, fetched_at, host, matched (the deciding key or null),
     since (of its interval), kept."""
     base = captures.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(fetched).alias("fetched_at"))
-    asked = base.withColumn("key", F.explode(keys_of(F.col("url"))))
-    # One row per key: its intervals as an array. Both rules of one pattern, at most a few entries each.
+    asked = base.select("url", "fetched_at").dropna().distinct().withColumn("key", F.explode(keys_of(F.col("url"))))
+    # One row per key: its intervals as an array.
     lists = intervals(entries).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("since", "until", "rule"))).alias("spans"))
-    joined = join_lookup(asked, lists, "key", "page_id")
+    joined = join_lookup(asked, lists, "key", "url", "inner")
     active = F.filter("spans", lambda s: (s["since"] <= F.col("fetched_at")) & (s["until"].isNull() | (F.col("fetched_at") < s["until"])))
     # Longest pattern first; a block before an allowance.
     best = F.array_max(F.transform(active, lambda s: F.struct((F.length("key") - F.instr("key", ":")).alias("n"), (s["rule"] == "block").alias("block"), F.col("key").alias("key"), s["since"].alias("since"))))
-    rows = joined.withColumn("best", best).groupBy("page_id", "url", "fetched_at").agg(
-        F.max("best").alias("best"), F.sum((F.col("key") == "none:").cast("int")).alias("copies")  # each capture has the key none: once
-    )
-    rows = rows.withColumn("copy", F.explode(F.array_repeat(F.lit(0), F.col("copies").cast("int"))))
+    found = joined.select("url", "fetched_at", best.alias("best")).where("best is not null").groupBy("url", "fetched_at").agg(F.max("best").alias("best"))
+    rows = join_lookup(base, found, ["url", "fetched_at"], "page_id")
     return rows.select("page_id", "url", "fetched_at", host_of(F.col("url")).alias("host"), F.col("best.key").alias("matched"), F.col("best.since").alias("since"), (~F.coalesce("best.block", F.lit(False))).alias("kept"))
