@@ -7,20 +7,23 @@ lists of a coarse index. Within a probed list they lie in column blocks: the
 distances over the first block of dimensions are computed for all, then a
 hypothesis test abandons candidates whose partial distance, scaled up to all
 dimensions, is too large to be among the nearest so far; the rest go on to the
-next block. Survivors are scored in double precision on the original vectors.
+next block. Survivors are scored in double precision on the original vectors. Each
+query first scans its nearest list alone; the k-th distance there is the threshold that its
+other lists start from.
 
 The index (centroids) is fitted on at most SAMPLE vectors, those with the least
 hashed ids; every vector is indexed. Of equal vectors the k + 1 with the least
 ids are scanned, which is all that k places can show: a vector that a third of
-all rows share costs a handful of rows per map task. Lists are cut into tiles of
+all rows share costs a handful of rows per map task. There are sqrt(n) / 2 lists, up to one a fitted vector. Lists are cut into tiles of
 about TILE rows by hash and their queries into chunks of about TILE, so a task
 holds two bounded blocks. A query visits the share PROBE of the lists, LEAST
-at least, set for a recall of over 0.9 on vectors with hardly any cluster structure.
+at least, set for a recall of over 0.9 on vectors with hardly any cluster structure; as the
+queries are a share of all rows too, work and shuffle grow with their product.
 
 Edge cases: vectors that are null, empty, zero, hold nulls or numbers that are
 not finite, or differ in length from most take no part, neither do null ids;
 repeated rows (same id and vector) count once, the same id with another vector
-is never its own neighbour; ties go to the smaller id; where fewer than k
+is never its own neighbour, and of several vectors of a query's id the least asks; ties go to the smaller id; where fewer than k
 candidates exist all are returned; an empty table gives no rows; extra columns
 are not carried.
 """
@@ -45,6 +48,7 @@ EPSILON = 2.1
 PROBE = 0.6
 LEAST = 16
 SEED = 42
+SLACK = 1e-5
 RESULT = "query_id long, rank int, vec_id long, score double"
 
 
@@ -87,8 +91,8 @@ def _cosines(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return (x * q).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((q * q).sum()))
 
 
-def scan(q: np.ndarray, q_id: int, rot_q: np.ndarray, blocks: list[np.ndarray], raw: np.ndarray, ids: np.ndarray, start: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """The k nearest of a tile for one query: ids and cosines. ``blocks``: one
+def scan(q: np.ndarray, q_id: int, rot_q: np.ndarray, blocks: list[np.ndarray], raw: np.ndarray, ids: np.ndarray, start: np.ndarray, k: int, limit: float = np.inf) -> tuple[np.ndarray, np.ndarray]:
+    """The k nearest of a tile for one query, within the squared distance ``limit``: ids and cosines. ``blocks``: one
     (dimensions, rows) array per column block; ``start``: distances over the first."""
     dims, block = len(rot_q), len(blocks[0])
     alive = np.flatnonzero(ids != q_id)
@@ -96,16 +100,15 @@ def scan(q: np.ndarray, q_id: int, rot_q: np.ndarray, blocks: list[np.ndarray],
     # The k candidates best over the first block give the first threshold.
     lead = alive[np.argpartition(part, k - 1)[:k]] if len(alive) > k else alive
     full = sum(((b[:, lead] - rot_q[i * block : i * block + len(b), None]) ** 2).sum(axis=0) for i, b in enumerate(blocks))
-    radius = full.max() if len(lead) >= k else np.inf
+    radius = min(full.max() if len(lead) >= k else np.inf, limit)
     done = block
     for b in blocks[1:]:
         keep = part <= radius * done / dims * (1 + EPSILON / np.sqrt(done)) ** 2
         alive, part = alive[keep], part[keep]
         part = part + ((b[:, alive] - rot_q[done : done + len(b), None]) ** 2).sum(axis=0)
         done += len(b)
-    if len(alive) > k:
-        cut = np.partition(part, k - 1)[k - 1]
-        alive = alive[part <= cut + 1e-5]  # single precision decides on nothing near the border
+    cut = min(np.partition(part, k - 1)[k - 1] if len(alive) > k else np.inf, limit)
+    alive = alive[part <= cut + SLACK]  # single precision decides on nothing near the border
     score = _cosines(q, raw[alive])
     order = np.lexsort((ids[alive], -score))[:k]
     return ids[alive][order], score[order]
@@ -125,7 +128,7 @@ def search(df: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id"
     rng = np.random.default_rng(seed)
     fit = _unit(_matrix(sample["v"]))
     dims = fit.shape[1]
-    lists = int(np.clip(np.ceil(np.sqrt(n) / 2), 1, min(512, len(fit))))
+    lists = int(np.clip(np.ceil(np.sqrt(n) / 2), 1, len(fit)))
     centres = _kmeans(fit, lists, rng)
     rotation = np.linalg.qr(rng.standard_normal((dims, dims)))[0]
 
@@ -139,39 +142,34 @@ def search(df: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id"
 
     indexed = materialize(rows.mapInPandas(assign, "vec_id long, v binary, list int"), "lists")
     sizes = np.zeros(lists, np.int64)
-    for r in indexed.groupBy("list").count().collect():  # at most 512 rows
+    for r in indexed.groupBy("list").count().collect():  # a row a list, SAMPLE at most
         sizes[r["list"]] = r["count"]
     tiles = np.maximum(1, -(-sizes // TILE))
     probes = min(lists, max(LEAST, int(np.ceil(probe * lists))))
 
-    def route(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            if len(pdf):
-                x = _matrix(pdf["v"])
-                order = np.argsort(-(_unit(x) @ centres.T), axis=1, kind="stable")
-                # On to further lists until the probed ones hold k others.
-                reach = np.maximum(probes, 1 + (np.cumsum(sizes[order], axis=1) <= k).sum(axis=1))
-                rows = [(i, v.tobytes(), int(j)) for i, v, o, m in zip(pdf["vec_id"], x, order, reach, strict=True) for j in o[:m]]
-                yield pd.DataFrame(rows, columns=["vec_id", "v", "list"]).astype({"list": np.int32})
-
-    asked = base.where(F.col("vec_id") % every == 0).dropDuplicates(["vec_id"])
-    routed = materialize(asked.mapInPandas(route, "vec_id long, v binary, list int"), "routed")
-    load = np.zeros(lists, np.int64)
-    for r in routed.groupBy("list").count().collect():
-        load[r["list"]] = r["count"]
-    chunks = np.maximum(1, -(-load // TILE))
-    shape = F.broadcast(spark.createDataFrame([(i, int(tiles[i]), int(chunks[i])) for i in range(lists)], "list int, tiles int, chunks int"))
+    def route(nearest: bool):
+        def deal(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                if len(pdf):
+                    x = _matrix(pdf["v"])
+                    order = np.argsort(-(_unit(x) @ centres.T), axis=1, kind="stable")
+                    # The nearest lists that hold k others, then on to the share that is probed.
+                    first = np.minimum(1 + (np.cumsum(sizes[order], axis=1) <= k).sum(axis=1), lists)
+                    last = first if nearest else np.maximum(probes, first)
+                    rows = [(i, v.tobytes(), int(j), r) for i, v, r, o, a, z in zip(pdf["vec_id"], x, pdf["radius"], order, first, last, strict=True) for j in (o[:z] if nearest else o[a:z])]
+                    yield pd.DataFrame(rows, columns=["vec_id", "v", "list", "radius"]).astype({"list": np.int32, "radius": float})
+
+        return deal
+
     mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.col(n).cast("long")).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    cells = indexed.join(shape, "list").withColumn("tile", mine("tiles")).withColumn("chunk", each("chunks")).select("list", "tile", "chunk", "vec_id", "v")
-    calls = routed.join(shape, "list").withColumn("chunk", mine("chunks")).withColumn("tile", each("tiles")).select("list", "tile", "chunk", "vec_id", "v")
 
     def compare(queries: pd.DataFrame, tile: pd.DataFrame) -> pd.DataFrame:
         found = []
         if len(queries) and len(tile):
             decode = lambda s: np.frombuffer(b"".join(s), np.float64).reshape(len(s), dims)
             raw, q = decode(tile["v"]), decode(queries["v"])
-            ids = tile["vec_id"].to_numpy()
+            ids, limit = tile["vec_id"].to_numpy(), queries["radius"].to_numpy()
             turned = np.ascontiguousarray((_unit(raw) @ rotation).T.astype(np.float32))
             rot_q = (_unit(q) @ rotation).astype(np.float32)
             blocks = [turned[i : i + BLOCK] for i in range(0, dims, BLOCK)]
@@ -181,11 +179,26 @@ def search(df: DataFrame, k: int = K, every: int = EVERY, vec_id: str = "vec_id"
                 first = (p * p).sum(axis=1)[:, None] + (b * b).sum(axis=0)[None] - 2 * (p @ b)
                 for j in range(len(p)):
                     i = at + j
-                    got, score = scan(q[i], queries["vec_id"].iat[i], rot_q[i], blocks, raw, ids, first[j], k)
+                    got, score = scan(q[i], queries["vec_id"].iat[i], rot_q[i], blocks, raw, ids, first[j], k, limit[i])
                     found += [(queries["vec_id"].iat[i], g, s) for g, s in zip(got, score, strict=True)]
         return pd.DataFrame(found, columns=["query_id", "vec_id", "score"])
 
-    key = ["list", "tile", "chunk"]
-    near = calls.groupBy(key).cogroup(cells.groupBy(key)).applyInPandas(compare, "query_id long, vec_id long, score double")
+    def ask(queries: DataFrame, nearest: bool) -> DataFrame:
+        routed = materialize(queries.mapInPandas(route(nearest), "vec_id long, v binary, list int, radius double"), "routed")
+        load = np.zeros(lists, np.int64)
+        for r in routed.groupBy("list").count().collect():
+            load[r["list"]] = r["count"]
+        chunks = -(-load // TILE)
+        shape = F.broadcast(spark.createDataFrame([(i, int(tiles[i]), int(chunks[i])) for i in np.flatnonzero(chunks).tolist()], "list int, tiles int, chunks int"))
+        cells = indexed.join(shape, "list").withColumn("tile", mine("tiles")).withColumn("chunk", each("chunks")).select("list", "tile", "chunk", "vec_id", "v")
+        calls = routed.join(shape, "list").withColumn("chunk", mine("chunks")).withColumn("tile", each("tiles")).select("list", "tile", "chunk", "vec_id", "v", "radius")
+        key = ["list", "tile", "chunk"]
+        return calls.groupBy(key).cogroup(cells.groupBy(key)).applyInPandas(compare, "query_id long, vec_id long, score double")
+
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    top = lambda near: near.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    asked = base.where(F.col("vec_id") % every == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
+    near = materialize(top(ask(asked.withColumn("radius", F.lit(float("inf"))), True)), "nearest")
+    radius = near.where(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), (F.greatest(F.lit(0.0), 2 - 2 * F.col("score")) + SLACK).alias("radius"))
+    rest = ask(asked.join(radius, "vec_id", "left").withColumn("radius", F.coalesce("radius", F.lit(float("inf")))), False)
+    return top(near.drop("rank").union(rest))
