@@ -11,13 +11,15 @@ alone - at most ``capacity`` numbers, whatever the corpus:
 3. each whole use of a configuration gets actual lengths: the longest left of at
    most each group's size, and for its last spot the longest left that fits;
 4. what is left, large or small, goes longest first into the sequence where it
-   fits best, or opens new ones.
+   fits best, or opens new ones. A configuration that actual lengths would leave more than
+   a spare of ids open is given up in 3; several spares are planned and the plan
+   of fewest sequences is taken.
 
 Runs of sequences with the same layout are kept as one entry, so the plan stays
 small. Pieces then meet their place by their rank among the pieces of the same
-length. That rank is distributed: pieces are dealt by hash into buckets, ranked
-inside (length, bucket) and shifted by the counts of the buckets before, so a
-length that a third of all pieces share spreads over many tasks; order by id
+length. That rank is distributed: the pieces of each length are dealt by hash into as many
+buckets as their number asks for, ranked inside (length, bucket) and shifted by the counts of the
+buckets before, so a length that a third of all pieces share spreads over many tasks; order by id
 makes reruns agree.
 
 Edge cases: a null or empty text is one piece, the closing id; repeated rows are
@@ -41,7 +43,8 @@ from statflow.plans.durable import materialize
 CAPACITY = 2048
 SMALL = 16
 GROUPS = 64
-SPARE = 0
+#: Ids that a substituted configuration may leave open: all are planned, the fewest sequences win.
+SPARES = (0, 8, 32, 128, CAPACITY)
 BUCKET = 5_000
 END = 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -194,9 +197,6 @@ def _substitute(p: _Plan, lengths: list[int], chosen: list[tuple[np.ndarray, int
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small: int = SMALL) -> tuple[np.ndarray, int]:
     """``counts``: pieces by length. Slots (see ``_Plan.slots``) and the number of sequences."""
-    p = _Plan(counts, capacity)
-    if n := counts.get(capacity, 0):
-        p.put(p.new(n), n, 0, [(capacity, p.take(capacity, n))])
     lengths = sorted((x for x in counts if x < capacity), reverse=True)
     large = [x for x in lengths if x * small > capacity]
     total = sum(counts[x] for x in large)
@@ -207,17 +207,24 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
         sizes = np.array(large)[np.searchsorted(upto, edges[:-1], side="right")]
         sizes, at = np.unique(sizes, return_index=True)
         sizes, demand = sizes[::-1], np.diff(np.append(edges[:-1][at[::-1]], total)).astype(float)
-        _substitute(p, sorted(large), configurations(sizes, demand, capacity), sizes, SPARE)
-    for x in lengths:
-        p.best_fit(x)
-    return p.slots(), p.sequences
-
-
-def ranked(cut: DataFrame) -> DataFrame:
-    """Adds rank: 0, 1, ... among the pieces of one length, in an order that reruns keep."""
-    total = cut.count()
-    buckets = max(1, -(-total // BUCKET))
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)))
+        chosen = configurations(sizes, demand, capacity)
+    best = None
+    for spare in SPARES if total else (0,):
+        p = _Plan(counts, capacity)
+        if n := counts.get(capacity, 0):
+            p.put(p.new(n), n, 0, [(capacity, p.take(capacity, n))])
+        if total:
+            _substitute(p, sorted(large), chosen, sizes, spare)
+        for x in lengths:
+            p.best_fit(x)
+        best = p if best is None or p.sequences < best.sequences else best
+    return best.slots(), best.sequences
+
+
+def ranked(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """Adds rank: 0, 1, ... among the pieces of one length, in an order that reruns keep. ``counts``: pieces by length."""
+    shares = cut.sparkSession.createDataFrame([(x, -(-n // BUCKET)) for x, n in counts.items()], "length long, buckets long")  # at most ``capacity`` rows
+    keyed = cut.join(F.broadcast(shares), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets"))).drop("buckets")
     sizes = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     shifts = sizes.select("length", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("shift"))
@@ -239,7 +246,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         return pd.DataFrame({"sequence_id": slots[at, 3] + rank - slots[at, 1], "offset": slots[at, 4]})
 
     names = [c.split()[0] for c in PIECES.split(", ")]
-    return ranked(cut).select(*names, look("length", "rank").alias("at")).select(*names, "at.sequence_id", "at.offset")
+    return ranked(cut, counts).select(*names, look("length", "rank").alias("at")).select(*names, "at.sequence_id", "at.offset")
 
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
