@@ -51,7 +51,7 @@ WIDE = 512
 #: For near-duplicates by similarity. Shingle sets of similarity s differ in a share
 #: acos(2 s / (1 + s)) / pi of the bits: 0.151 at 0.8, give or take 0.016 over 512 bits. Pairs within
 #: FIRST bits of the first word and MAYBE of all are candidates - at 0.8 that is more than four and five
-#: deviations off, so three pairs in 100 000 are missed there and fewer above; the shingles decide.
+#: deviations off, so about four pairs in 100 000 are missed there and fewer above; the shingles decide.
 WIDTH = 8
 SIMILARITY = 0.8
 FIRST = 22
