@@ -4,22 +4,59 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statflow.operators.aggregates import _by, _need
+from statflow.plans.durable import materialize
+
+#: Distinct values a task sorts, about.
+PART_VALUES = 1 << 20
 
 
 def quantiles(df: DataFrame, cols: Sequence[str], qs: Sequence[float], by: str | Sequence[str] | None = None) -> DataFrame:
-    """Exact percentiles, interpolated: column, q, value. The state is a count per distinct value
-    and group; for columns of very many distinct values see ``binned_quantiles``."""
+    """Exact percentiles, interpolated: column, q, value. Distinct values are counted per column and group and
+    sorted over as many tasks as they ask for (``PART_VALUES`` each); the groups' counts in each sorted part say
+    which part holds a rank, so no task sees more than its part. Nulls take no part, NaN is the greatest."""
     _need(df, cols)
     if not qs or any(not 0 <= q <= 1 for q in qs):
         raise ValueError("quantiles lie within [0, 1]")
     by = _by(by)
-    wide = df.groupBy(*by).agg(*[F.percentile(F.col(c).cast("double"), F.array(*[F.lit(float(q)) for q in qs])).alias(f"__{c}") for c in cols])
-    rows = [F.struct(F.lit(c).alias("column"), F.lit(float(q)).alias("q"), F.col(f"__{c}").getItem(i).alias("value")) for c in cols for i, q in enumerate(qs)]
-    return wide.select(*by, F.inline(F.array(*rows)))
+    groups = [f"__g{i}" for i in range(len(by))]
+    keys = [*groups, "__c"]
+    base = df.select(*[F.col(b).alias(g) for b, g in zip(by, groups, strict=True)], *[F.col(c).cast("double").alias(f"__x{i}") for i, c in enumerate(cols)])
+    counts = None
+    for i in range(len(cols)):  # a null counts as one value of no rows, which keeps groups of nulls
+        x = F.col(f"__x{i}")
+        part = base.groupBy(*groups, x.alias("__x")).agg(F.count(x).alias("__n")).select(*groups, F.lit(i).alias("__c"), "__x", "__n")
+        counts = part if counts is None else counts.union(part)
+    counts = materialize(counts, "counts")
+    parts = max(1, counts.count() // PART_VALUES + 1)
+    rows = counts.where("__x is not null").repartitionByRange(parts, *keys, "__x").withColumn("__p", F.spark_partition_id())
+    rows = materialize(rows, "sorted")
+    inside = rows.groupBy(*keys, "__p").agg(F.sum("__n").alias("__s"))
+    before = Window.partitionBy(*keys).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    starts = inside.withColumn("__before", F.coalesce(F.sum("__s").over(before), F.lit(0))).withColumn("__total", F.sum("__s").over(Window.partitionBy(*keys)))
+    rank = lambda q: F.lit(float(q)) * (F.col("__total") - 1)
+    ends = [F.struct(F.lit(k).alias("__k"), end.alias("__r")) for k, q in enumerate(qs) for end in (F.floor(rank(q)), F.ceil(rank(q)))]
+    wanted = starts.withColumn("__w", F.array_distinct(F.array(*ends))).select("*", F.expr("filter(__w, w -> w.__r >= __before and w.__r < __before + __s)").alias("__here")).where(F.size("__here") > 0)
+    wanted = wanted.select(*[F.col(k).alias(f"{k}_w") for k in [*keys, "__p"]], "__before", "__total", "__here")
+    # Only parts that hold a rank are sorted.
+    near = rows.join(wanted, F.expr(" and ".join(f"{k} <=> {k}_w" for k in [*keys, "__p"])))
+    running = Window.partitionBy(*keys, "__p").orderBy("__x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    near = near.withColumn("__end", F.col("__before") + F.sum("__n").over(running))
+    found = near.select(*keys, "__x", "__total", F.explode(F.expr("filter(__here, w -> w.__r >= __end - __n and w.__r < __end)")).alias("__w"))
+    found = found.groupBy(*keys, "__w.__k").agg(F.max("__total").alias("__total"), F.min("__x").alias("__lo"), F.max("__x").alias("__hi"))
+    q = F.get(F.array(*[F.lit(float(q)) for q in qs]), F.col("__k"))
+    part = q * (F.col("__total") - 1) - F.floor(q * (F.col("__total") - 1))
+    value = F.when(F.col("__lo") == F.col("__hi"), F.col("__lo")).otherwise(F.col("__lo") * (1 - part) + F.col("__hi") * part)
+    found = found.select(*[F.col(k).alias(f"{k}_f") for k in keys], F.col("__k").alias("__k_f"), value.alias("value"))
+    # Every group, column and q has a row, null where the column has no value.
+    every = counts.select(*groups).distinct() if by else df.sparkSession.range(1)
+    names = F.array(*[F.struct(F.lit(i).alias("__c"), F.lit(c).alias("column"), F.lit(k).alias("__k"), F.lit(float(q)).alias("q")) for i, c in enumerate(cols) for k, q in enumerate(qs)])
+    every = every.select(*groups, F.inline(names))
+    out = every.join(found, F.expr(" and ".join(f"{k} <=> {k}_f" for k in [*keys, "__k"])), "left")
+    return out.select(*[F.col(g).alias(b) for b, g in zip(by, groups, strict=True)], "column", "q", "value")
 
 
 def median(df: DataFrame, cols: Sequence[str], by: str | Sequence[str] | None = None) -> DataFrame:
