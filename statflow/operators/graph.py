@@ -5,8 +5,9 @@ to the largest in an edge is a vertex, whether seen or not; else only those seen
 Ids that leave nearly all of that range unseen are refused with ``dense``.
 Each pass is one join on a vertex and one partial aggregation. Its state is written
 to the shared folder and the one before deleted, so plans stay short, a lost executor
-costs one pass and Catalyst knows the state's size: it is broadcast while small,
-else joined by sorting, with hubs split by adaptive execution.
+costs one pass. It may be broadcast up to ``BROADCAST_ROWS`` vertices, however well its
+file compresses; beyond, it is joined by sorting, in parts of a bounded number of edges,
+with hubs split by adaptive execution.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from statflow.plans.durable import forget, materialize, scratch
 
 #: Ids from 0 on may be this many times the edges before ``dense`` is refused.
 DENSITY = 1000
+#: A state of more vertices is never broadcast.
+BROADCAST_ROWS = 1 << 18
 
 
 def _edges(edges: DataFrame, s: str, t: str, *more: str) -> DataFrame:
@@ -31,6 +34,10 @@ def _edges(edges: DataFrame, s: str, t: str, *more: str) -> DataFrame:
     return rows.where("s is not null and t is not null")
 
 
+def _state(df: DataFrame, rows: int) -> DataFrame:
+    return df.hint("merge") if rows > BROADCAST_ROWS else df
+
+
 def vertices(edges: DataFrame, dense: bool = True) -> DataFrame:
     """node: the vertices of edges s, t."""
     if not dense:
@@ -44,18 +51,20 @@ def vertices(edges: DataFrame, dense: bool = True) -> DataFrame:
 def page_rank(edges: DataFrame, s: str = "s", t: str = "t", updates: int = 19, damping: float = 0.85, dense: bool = True) -> DataFrame:
     """node, rank: r = (1 - d) + d * sum of r / out-degree over in-edges, from 1, ``updates`` times.
     Not normalised; sinks pass nothing on; parallel edges count each, self-loops as well."""
-    raw = _edges(edges, s, t)
+    raw = materialize(_edges(edges, s, t), "raw")
+    size = raw.count()
     # Parallel edges become one row with a share, which also bounds a hub's fan-in per neighbour.
     e = raw.groupBy("s", "t").agg(F.count(F.lit(1)).alias("m"))
     e = e.join(raw.groupBy("s").agg(F.count(F.lit(1)).alias("d")), "s").select("s", "t", (F.col("m") / F.col("d")).alias("share"))
-    e = materialize(e, "edges")
-    nodes = materialize(vertices(raw, dense), "nodes")
+    e = materialize(e, "edges", size)
+    nodes = materialize(vertices(raw, dense), "nodes", size)
+    n = nodes.count()
     ranks = nodes.select("node", F.lit(1.0).alias("rank"))
     for _ in range(updates):
         old = ranks
-        flow = e.join(ranks, e.s == ranks.node).groupBy("t").agg(F.sum(F.col("rank") * F.col("share")).alias("x"))
+        flow = e.join(_state(ranks, n), e.s == ranks.node).groupBy("t").agg(F.sum(F.col("rank") * F.col("share")).alias("x"))
         ranks = nodes.join(flow, nodes.node == flow.t, "left").select("node", (F.lit(1 - damping) + F.lit(damping) * F.coalesce("x", F.lit(0.0))).alias("rank"))
-        ranks = materialize(ranks, "ranks")
+        ranks = materialize(ranks, "ranks", size)
         forget(old)
     return ranks
 
@@ -71,18 +80,20 @@ def shortest_path(edges: DataFrame, s: str = "s", t: str = "t", weight: str | No
     """node, distance: from the sources, edges whose ``init`` says where their first vertex starts;
     unreachable vertices are infinite. Only vertices that just came closer send on. Without a cycle of
     negative weight it ends after as many passes as there are vertices, at most (or ``max_iter``)."""
-    raw = _edges(edges, s, t, init, *([weight] if weight else []))
+    raw = materialize(_edges(edges, s, t, init, *([weight] if weight else [])), "raw")
+    size = raw.count()
     e = raw.select("s", "t", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"), F.col(init).cast("double").alias("init"))
-    hops = materialize(e.groupBy("s", "t").agg(F.min("w").alias("w")), "edges")
+    hops = materialize(e.groupBy("s", "t").agg(F.min("w").alias("w")), "edges", size)
     nodes = vertices(raw, dense)
     seeds = e.where(F.col("init").isNotNull() & (F.col("init") < float("inf"))).groupBy("s").agg(F.min("init").alias("d"))
-    dist = materialize(nodes.join(seeds, nodes.node == seeds.s, "left").select("node", F.coalesce("d", F.lit(float("inf"))).alias("d"), F.col("d").isNotNull().alias("new")), "distances")
-    max_iter = max_iter or dist.count() + 1
+    dist = materialize(nodes.join(seeds, nodes.node == seeds.s, "left").select("node", F.coalesce("d", F.lit(float("inf"))).alias("d"), F.col("d").isNotNull().alias("new")), "distances", size)
+    n = dist.count()
+    max_iter = max_iter or n + 1
     for _ in range(max_iter):
-        front = dist.where("new")
+        front = _state(dist.where("new"), n)
         reach = hops.join(front, hops.s == front.node).groupBy("t").agg(F.min(F.col("d") + F.col("w")).alias("x"))
         old, dist = dist, dist.join(reach, dist.node == reach.t, "left").select("node", F.least("d", F.coalesce("x", "d")).alias("d"), (F.coalesce("x", "d") < F.col("d")).alias("new"))
-        dist = materialize(dist, "distances")
+        dist = materialize(dist, "distances", size)
         forget(old)
         if not dist.where("new").limit(1).count():
             return dist.select("node", F.col("d").alias("distance"))
@@ -95,10 +106,11 @@ def strongly_connected_components(edges: DataFrame, s: str = "s", t: str = "t",
     id that reaches it; those that reach their colour back within it form a component. Each round
     finds a component of every colour, so rounds go on until no edge is left; an acyclic
     part takes as many trims as its longest path."""
-    raw = _edges(edges, s, t)
+    raw = materialize(_edges(edges, s, t), "raw")
+    size = raw.count()
     spark = edges.sparkSession
     nodes = vertices(raw, dense)
-    live = materialize(raw.where("s <> t").distinct(), "live")
+    live = materialize(raw.where("s <> t").distinct(), "live", size)
     n = live.count()
     done: list[DataFrame] = []
     while n:
@@ -106,7 +118,7 @@ def strongly_connected_components(edges: DataFrame, s: str = "s", t: str = "t",
         while n and n != before:  # trim
             before, old = n, live
             kept = live.join(live.select(F.col("t").alias("s")).distinct(), "s", "left_semi").join(live.select(F.col("s").alias("t")).distinct(), "t", "left_semi")
-            live = materialize(kept.select("s", "t"), "live")
+            live = materialize(kept.select("s", "t"), "live", n)
             n = live.count()
             forget(old)
         if not n:
@@ -115,14 +127,14 @@ def strongly_connected_components(edges: DataFrame, s: str = "s", t: str = "t",
             points = vertices(live, dense=False)
             colour = pregel(points.withColumn("c", F.col("node")), live, message={"c": F.col("src_c")}, merge={"c": F.min}, combine={"c": F.least(F.col("c"), F.coalesce(F.col("msg_c"), F.col("c")))})
             inside = live.join(colour.select(F.col("node").alias("s"), F.col("c").alias("cs")), "s").join(colour.select(F.col("node").alias("t"), F.col("c").alias("ct")), "t").where("cs = ct")
-            back = materialize(inside.select(F.col("t").alias("s"), F.col("s").alias("t")), "back")
+            back = materialize(inside.select(F.col("t").alias("s"), F.col("s").alias("t")), "back", n)
             start = colour.withColumn("hit", F.col("node") == F.col("c"))
             reached = pregel(start, back, message={"hit": F.col("src_hit")}, merge={"hit": F.max}, combine={"hit": F.col("hit") | F.coalesce(F.col("msg_hit"), F.lit(False))})
             found = keep(materialize(reached.where("hit").select("node", F.col("c").alias("component")), "found"))
             done.append(found)
             gone = found.select(F.col("node").alias("x"))
             rest = live.join(gone, live.s == gone.x, "left_anti").join(gone, live.t == gone.x, "left_anti")
-            new = keep(materialize(rest, "live"))
+            new = keep(materialize(rest, "live", n))
         forget(live)
         live = new
         n = live.count()
@@ -169,12 +181,13 @@ def pregel(
     used = " ".join(str(c) for c in [*message.values(), *(reverse or {}).values(), *([where] if where is not None else [])])
     state = materialize(nodes, "vertices")
     edges = materialize(edges, "edges")
+    n, size = state.count(), edges.count()
     for _ in itertools.count() if max_iter is None else range(max_iter):
         wide = edges
         if "src_" in used:
-            wide = wide.join(state.select(F.col("node").alias("s"), *[F.col(a).alias(f"src_{a}") for a in attributes]), "s")
+            wide = wide.join(_state(state.select(F.col("node").alias("s"), *[F.col(a).alias(f"src_{a}") for a in attributes]), n), "s")
         if "dst_" in used:
-            wide = wide.join(state.select(F.col("node").alias("t"), *[F.col(a).alias(f"dst_{a}") for a in attributes]), "t")
+            wide = wide.join(_state(state.select(F.col("node").alias("t"), *[F.col(a).alias(f"dst_{a}") for a in attributes]), n), "t")
         wide = wide.where(where) if where is not None else wide
         sent = wide.select(F.col("t").alias("__to"), *[c.alias(f"msg_{k}") for k, c in message.items()])
         if reverse is not None:
@@ -185,7 +198,7 @@ def pregel(
         for k, c in combine.items():
             changed |= ~c.eqNullSafe(F.col(k))
         new = joined.select("node", *[(combine[a] if a in combine else F.col(a)).alias(a) for a in attributes], changed.alias("__changed"))
-        old, whole = state, materialize(new, "vertices")
+        old, whole = state, materialize(new, "vertices", max(n, size))
         forget(old)
         state = whole.drop("__changed")
         state._statflow_path = whole._statflow_path

@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from statflow.models import glm
-from statflow.operators import quantile
+from statflow.operators import components, graph, quantile
+from statflow.plans import durable
 
 
 def test_alike_rows_are_counted_before_the_passes(spark):
@@ -39,3 +40,30 @@ def test_quantiles_over_several_sorted_parts(spark, monkeypatch):
     assert got["empty", "x", 0.5] is None and np.isnan(got["nan", "x", 0.5])
     whole = {(r["column"], r["q"]): r["value"] for r in quantile.quantiles(df.where("g <> 'nan'"), ["x"], qs).collect()}
     assert [whole["x", q] for q in qs] == pytest.approx([np.quantile([r[1] for r in rows[:600] if r[0]], q) for q in qs])
+
+
+def test_tasks_join_up_their_own_edges():
+    rng = np.random.default_rng(8)
+    u, v = rng.integers(0, 900, 800), rng.integers(0, 900, 800)
+    x, y = components._forest(u, v)
+    assert len(x) < len(np.unique(np.concatenate([u, v]))) and len(np.unique(x)) == len(x)
+    label = np.arange(900)
+    for _ in range(900):
+        low = np.minimum(label[u], label[v])
+        np.minimum.at(label, u, low)
+        np.minimum.at(label, v, low)
+    mine = np.arange(900)
+    mine[x] = y
+    assert (mine == label).all()
+
+
+def test_large_states_are_not_broadcast(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BROADCAST_ROWS", 5)
+    state = graph._state(spark.range(10), 10)
+    joined = spark.range(20).join(state, "id")
+    assert "BroadcastHashJoin" not in joined._jdf.queryExecution().executedPlan().toString()
+    monkeypatch.setattr(durable, "PART_ROWS", 100)
+    assert durable.part_count(spark, 5000) == 51
+    own = spark.conf.get("spark.sql.shuffle.partitions")
+    durable.materialize(spark.range(10).groupBy("id").count(), "part", 5000)
+    assert spark.conf.get("spark.sql.shuffle.partitions") == own
