@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -31,20 +32,22 @@ class NaiveBayesModel:
         """Adds the class of the largest posterior, ties to the lesser class; counts get 1 added so that
         an unseen level rules nothing out. Attributes that are null are left out."""
         counts = {(r["class"], r["attribute"], r["level"]): r["count"] for r in self.table.collect()}  # classes x attributes x bins
-        scores = []
-        for name, size in self.classes:
-            score: Column = F.log(F.lit(size / self.n))
-            for a in [*self.ranges, *self.factors]:
-                level = _bin(F.col(a).cast("double"), *self.ranges[a], self.bins).cast("string") if a in self.ranges else F.col(a).cast("string")
-                own = {lv: c for (k, x, lv), c in counts.items() if k == name and x == a}
-                width = self.bins + 2 if a in self.ranges else len({lv for (_, x, lv) in counts if x == a})
-                pairs = [F.lit(z) for lv, c in sorted(own.items()) for z in (lv, float(c))]
-                seen = F.coalesce(F.create_map(*pairs)[level], F.lit(0.0)) if pairs else F.lit(0.0)
-                score = score + F.when(F.col(a).isNull(), F.lit(0.0)).otherwise(F.log((seen + 1) / (size + width)))
-            scores.append(F.struct(score.alias("s"), F.lit(name).alias("k")))
-        best = scores[0]
-        for s in scores[1:]:
-            best = F.when(s["s"] > best["s"], s).otherwise(best)
+        scores: list[Column] = [F.log(F.lit(size / self.n)) for _, size in self.classes]
+        for a in [*self.ranges, *self.factors]:
+            seen = sorted({lv for (_, x, lv) in counts if x == a})
+            if a in self.ranges:
+                levels, width = [str(b) for b in range(-1, self.bins + 1)], self.bins + 2
+                at = _bin(F.col(a).cast("double"), *self.ranges[a], self.bins) + 1
+            else:
+                levels, width = seen, len(seen)
+                at = F.coalesce(F.array_position(F.array(*[F.lit(lv) for lv in levels]), F.col(a).cast("string")).cast("int") - 1, F.lit(-1))
+            # An array per class, the last entry for levels never seen: read by position, not searched.
+            for i, (name, size) in enumerate(self.classes):
+                logs = [math.log((float(counts.get((name, a, lv), 0)) + 1) / (size + width)) for lv in levels] + [math.log(1 / (size + width))]
+                own = F.get(F.array(*[F.lit(x) for x in logs]), F.when(at < 0, F.lit(len(levels))).otherwise(at))
+                scores[i] = scores[i] + F.when(F.col(a).isNull(), F.lit(0.0)).otherwise(own)
+        # The greatest struct: each score is computed once, ties go to the first class.
+        best = F.array_max(F.array(*[F.struct(s.alias("s"), F.lit(-i).alias("i"), F.lit(name).alias("k")) for i, (s, (name, _)) in enumerate(zip(scores, self.classes, strict=True))]))
         return df.withColumn(output, best["k"])
 
 
@@ -63,8 +66,11 @@ def naive_bayes(df: DataFrame, response: str, numerics: Sequence[str], factors:
     ranges = {c: (max(st[f"m_{c}"] - st[f"s_{c}"] * width_factor, st[f"lo_{c}"]), min(st[f"m_{c}"] + st[f"s_{c}"] * width_factor, st[f"hi_{c}"])) for c in numerics}
     attrs = [F.struct(F.lit(c).alias("attribute"), _bin(F.col(c).cast("double"), *ranges[c], bins).cast("string").alias("level")) for c in numerics]
     attrs += [F.struct(F.lit(c).alias("attribute"), F.col(c).cast("string").alias("level")) for c in factors]
-    flat = rows.select(F.col(response).cast("string").alias("class"), F.explode(F.array(*attrs)).alias("a")).select("class", "a.*")
-    counts = flat.groupBy("class", "attribute", "level").agg(F.count(F.lit(1)).alias("count"))
+    # One grouping per attribute, over a column or two each: cheaper than a row per attribute of every row.
+    counts = None
+    for a in attrs:
+        part = rows.select(F.col(response).cast("string").alias("class"), a.alias("a")).select("class", "a.*").groupBy("class", "attribute", "level").agg(F.count(F.lit(1)).alias("count"))
+        counts = part if counts is None else counts.union(part)
     classes = [(r["class"], r["count"]) for r in rows.groupBy(F.col(response).cast("string").alias("class")).count().orderBy("class").collect()]
     n = sum(c for _, c in classes)
     size = F.create_map(*[F.lit(x) for k, c in classes for x in (k, float(c))])
