@@ -16,11 +16,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statflow.plans.durable import materialize
-from statflow.plans.partials import add_up
+from statflow.plans.partials import add_up, stacked
 
 
 def normal_cdf(z: float) -> float:
@@ -138,7 +139,9 @@ class RegressionTree:
 
         @F.pandas_udf("double")
         def infer(cont: pd.Series, disc: pd.Series) -> pd.Series:
-            ok = np.array([c is not None and not np.isnan(np.asarray(c, float)).any() for c in cont], bool)
+            ok = np.array([c is not None for c in cont], bool)
+            if ok.any():
+                ok[ok] = ~np.isnan(np.stack(cont[ok].to_numpy()).astype(float)).any(axis=1)
             out = np.full(len(cont), np.nan)
             if ok.any():
                 x = np.stack(cont[ok].to_numpy()).astype(float).reshape(-1, k)
@@ -192,10 +195,10 @@ def decision_tree(
     nodes: dict[int, TreeNode] = {0: root}
     kids: dict[int, tuple[int, int]] = {}
 
-    def parts(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        x = np.stack(pdf["c"].to_numpy()).astype(float)
-        q = np.stack(pdf["d"].to_numpy()) if nd else np.zeros((len(x), 0), int)
-        v = np.column_stack([x[:, s - r :], pdf["y"].to_numpy()])
+    def parts(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        x = stacked(batch, "c")
+        q = stacked(batch, "d") if nd else np.zeros((len(x), 0), int)
+        v = np.column_stack([x[:, s - r :], batch.column("y").to_numpy()])
         at = np.zeros(len(x), np.int64)
         todo = {0} & set(kids)
         while todo:
@@ -211,20 +214,21 @@ def decision_tree(
     def density(z: np.ndarray, g: tuple[float, np.ndarray, np.ndarray]) -> np.ndarray:
         w, mu, cov = g
         chol = np.linalg.cholesky(cov)
-        e = np.linalg.solve(chol, (z - mu).T)
-        return w * np.exp(-0.5 * (e * e).sum(0)) / ((2 * math.pi) ** (len(mu) / 2) * np.diag(chol).prod())
+        e = np.linalg.inv(chol) @ (z - mu).T
+        return w / ((2 * math.pi) ** (len(mu) / 2) * np.diag(chol).prod()) * np.exp(-0.5 * np.einsum("ij,ij->j", e, e))
 
     def gathered(active: set[int], of) -> dict[int, np.ndarray]:
         def run(batches):
             out: dict[int, np.ndarray] = {}
-            for pdf in batches:
-                x, q, v, at = parts(pdf)
-                for n in active & set(np.unique(at).tolist()):
-                    here = at == n
-                    out[n] = out.get(n, 0) + of(n, x[here], q[here], v[here])
+            for batch in batches:
+                x, q, v, at = parts(batch)
+                for n in active:
+                    here = np.flatnonzero(at == n)
+                    if len(here):
+                        out[n] = out.get(n, 0) + of(n, x[here], q[here], v[here])
             return out or None
 
-        return add_up(rows, run, key="node")
+        return add_up(rows, run, key="node", arrow=True)
 
     def weighted(p: np.ndarray, z: np.ndarray) -> np.ndarray:
         return np.concatenate([[p.sum()], p @ z, ((z * p[:, None]).T @ z).ravel()])

@@ -1,11 +1,12 @@
 """Steps whose work or state must not grow with a single task or with every pass."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from statflow.models import glm
 from statflow.operators import components, graph, quantile
-from statflow.plans import durable
+from statflow.plans import durable, partials
 
 
 def test_alike_rows_are_counted_before_the_passes(spark):
@@ -67,3 +68,10 @@ def test_large_states_are_not_broadcast(spark, monkeypatch):
     own = spark.conf.get("spark.sql.shuffle.partitions")
     durable.materialize(spark.range(10).groupBy("id").count(), "part", 5000)
     assert spark.conf.get("spark.sql.shuffle.partitions") == own
+
+
+def test_vectors_come_as_one_matrix():
+    batch = pa.RecordBatch.from_pydict({"v": [[1.0, 2.0], [3.0, 4.0], [5.0, 6.0]]})
+    assert partials.stacked(batch.slice(1), "v").tolist() == [[3.0, 4.0], [5.0, 6.0]]
+    with pytest.raises(ValueError):
+        partials.stacked(pa.RecordBatch.from_pydict({"v": [[1.0], [3.0, 4.0]]}), "v")
