@@ -38,7 +38,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from statflow.llm.tokens import word_tokenizer
-from statflow.plans.durable import materialize
+from statflow.plans.durable import BATCH_BYTES, materialize
+from statflow.plans.lookup import local_table
 
 CAPACITY = 2048
 SMALL = 16
@@ -223,7 +224,7 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS,
 
 def ranked(cut: DataFrame, counts: dict[int, int]) -> DataFrame:
     """Adds rank: 0, 1, ... among the pieces of one length, in an order that reruns keep. ``counts``: pieces by length."""
-    shares = cut.sparkSession.createDataFrame([(x, -(-n // BUCKET)) for x, n in counts.items()], "length long, buckets long")  # at most ``capacity`` rows
+    shares = local_table(cut.sparkSession, [(x, -(-n // BUCKET)) for x, n in counts.items()], "length long, buckets long")  # at most ``capacity`` rows
     keyed = cut.join(F.broadcast(shares), "length").withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.col("buckets"))).drop("buckets")
     sizes = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("length").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
@@ -251,7 +252,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 
 def pack(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    return place(materialize(pieces(docs, vocabulary, capacity, doc_id, text), "pieces"), capacity)
+    return place(materialize(pieces(docs, vocabulary, capacity, doc_id, text), "pieces", batch=BATCH_BYTES), capacity)
 
 
 def sequences(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY) -> DataFrame:

@@ -34,13 +34,14 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from statflow.operators.components import star_components
-from statflow.plans.durable import materialize
-from statflow.plans.lookup import join_lookup
+from statflow.plans.durable import BATCH_BYTES, materialize
+from statflow.plans.lookup import join_lookup, local_table
 
 SHINGLE = 4
 RADIUS = 4
@@ -201,9 +202,9 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
                     homes.append((x + a, y + b, x, y, m, n, 1))
     spark = fps.sparkSession
     if not steps:
-        return spark.createDataFrame([], "u long, v long")
+        return local_table(spark, [], "u long, v long")
     # At most 289 cells of at most 21 neighbours each: a bounded table.
-    plan = F.broadcast(spark.createDataFrame(steps + homes, "x int, y int, ox int, oy int, n int, m int, side int"))
+    plan = F.broadcast(local_table(spark, steps + homes, "x int, y int, ox int, oy int, n int, m int, side int"))
     met = cells.join(plan, ["x", "y"]).withColumn("own", F.pmod(F.xxhash64("fp"), F.col("n").cast("long")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     within = (F.col("x") == F.col("ox")) & (F.col("y") == F.col("oy"))
@@ -229,9 +230,10 @@ def links(fps: DataFrame, radius: int = RADIUS, block: int = BLOCK) -> DataFrame
 def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
     """Per document: doc_id, fingerprint (16 hex digits), component_id (least doc_id
     of all documents reachable over links)."""
-    marked = materialize(fingerprints(docs, doc_id, text, shingle), "fingerprints")
+    marked = materialize(fingerprints(docs, doc_id, text, shingle), "fingerprints", batch=BATCH_BYTES)
     classes = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "classes")
-    found = star_components(links(classes.select("fp"), radius))
+    # Written first: in one stage with what the components do in Python, each task would hold two workers.
+    found = star_components(materialize(links(classes.select("fp"), radius), "links"))
     named = classes.join(found.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     named = materialize(named, "named")
     first = named.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -354,6 +356,18 @@ def alike(sets: list[np.ndarray], sketches: np.ndarray, second: np.ndarray | Non
     return trees.edges()
 
 
+def _words(column: pa.ChunkedArray) -> list[np.ndarray]:
+    """Each value of a column of whole 64-bit words, as a view of the column's own memory."""
+    out = []
+    for part in column.chunks:
+        _, offsets, data = part.buffers()
+        width = np.int64 if pa.types.is_large_binary(part.type) else np.int32
+        cuts = np.frombuffer(offsets, width, len(part) + 1, part.offset * np.dtype(width).itemsize).tolist()
+        words = np.frombuffer(data, np.uint64, (cuts[-1] - cuts[0]) // 8, cuts[0])
+        out += [words[(a - cuts[0]) // 8 : (b - cuts[0]) // 8] for a, b in zip(cuts, cuts[1:])]
+    return out
+
+
 def _free(df: DataFrame, name: str) -> str:
     while name in df.columns:
         name += "_"
@@ -372,7 +386,7 @@ def _deal(classes: DataFrame, block: int, held: int, similarity: float) -> DataF
     steps = [(x, y, n[x], n[y], int(y < x)) for x in sorted(n) for y in (x - 1, x, x + 1) if y in n]
     if not steps:
         return None
-    plan = F.broadcast(classes.sparkSession.createDataFrame(steps, "x int, y int, n int, m int, back int"))
+    plan = F.broadcast(local_table(classes.sparkSession, steps, "x int, y int, n int, m int, back int"))
     met = cells.join(plan, "x").withColumn("own", F.pmod(F.xxhash64("id"), F.col("n").cast("long")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("m") - 1)))
     code = lambda x, k: F.col(x).cast("long") * (1 << 32) + F.col(k)
@@ -389,7 +403,7 @@ def near_duplicates(classes: DataFrame, texts: Callable[[DataFrame], DataFrame],
     blocks is compared by sketches and names the rows - never the pairs - that have a candidate; then
     the shingles of these rows meet there, and a task checks the candidates that are not
     connected yet."""
-    none = classes.sparkSession.createDataFrame([], "u long, v long")
+    none = local_table(classes.sparkSession, [], "u long, v long")
     dealt = _deal(classes.where("size > 0"), block, held, similarity)
     if dealt is None:
         return none
@@ -411,16 +425,17 @@ def near_duplicates(classes: DataFrame, texts: Callable[[DataFrame], DataFrame],
         return pdf.loc[hit, ["a", "b", "second", "id"]]
 
     named = materialize(dealt.groupBy("a", "b").applyInPandas(name, "a long, b long, second boolean, id long"), "candidates")
-    sets = materialize(texts(named.select("id").distinct()), "shingles")
+    sets = materialize(texts(named.select("id").distinct()), "shingles", batch=BATCH_BYTES)
     held_rows = named.join(sets, "id").join(classes.select("id", "sketch"), "id")
 
-    def check(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, second = sides(pdf)
-        ids = pdf["id"].to_numpy()
-        found = alike([np.frombuffer(x, np.uint64) for x in pdf["set"]], rows, second, similarity=similarity)
-        return pd.DataFrame(ids[found], columns=["u", "v"])
+    def check(table: pa.Table) -> pa.Table:
+        second = None if table["a"][0] == table["b"][0] else table["second"].to_numpy()
+        rows = np.array(_words(table["sketch"]), np.uint64).reshape(-1, WIDTH)
+        found = alike(_words(table["set"]), rows, second, similarity=similarity)
+        return pa.table(dict(zip("uv", table["id"].to_numpy()[found].T, strict=True)))
 
-    return held_rows.groupBy("a", "b").applyInPandas(check, "u long, v long")
+    # Written before anything else is done in Python: in one stage, each task would hold two workers.
+    return materialize(held_rows.groupBy("a", "b").applyInArrow(check, "u long, v long"), "links", batch=BATCH_BYTES)
 
 
 def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, block: int = BLOCK, held: int = HELD, similarity: float = SIMILARITY) -> DataFrame:
@@ -434,8 +449,12 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
 
     @F.pandas_udf("sketch binary, same binary, size int")
     def of(texts: pd.Series) -> pd.DataFrame:
-        sets = [np.unique(_shingles(t, shingle)) for t in texts]
-        return pd.DataFrame({"sketch": [_sketch(x) for x in sets], "same": [xxhash.xxh3_128_digest(x.tobytes()) for x in sets], "size": np.array([len(x) for x in sets], np.int32)})
+        marks = []  # of a text at a time: sets of a whole batch would be as large as its texts
+        for t in texts:
+            x = np.unique(_shingles(t, shingle))
+            marks.append((_sketch(x), xxhash.xxh3_128_digest(x.tobytes()), len(x)))
+        sketches, same, sizes = zip(*marks, strict=True) if marks else ((), (), ())
+        return pd.DataFrame({"sketch": sketches, "same": same, "size": np.array(sizes, np.int32)})
 
     @F.pandas_udf("binary")
     def shingles(texts: pd.Series) -> pd.Series:
@@ -445,7 +464,7 @@ def keep_one(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingl
     key = _free(docs, "row_key")
     keyed = docs.withColumn(key, F.unhex(F.md5(F.concat_ws(":", known(F.col(doc_id), "i"), known(F.col(text), "t")))))
     marked = keyed.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.col(key).alias("key"), of(F.col(text)).alias("m"))
-    marked = materialize(marked.select("doc_id", "key", "m.*"), "marks")
+    marked = materialize(marked.select("doc_id", "key", "m.*"), "marks", batch=BATCH_BYTES)
     # Texts of the same shingles are one class. Once written, its number stands.
     head = F.struct("doc_id", "key")
     classes = marked.groupBy("same").agg(F.min(head).alias("head"), F.first("sketch").alias("sketch"), F.first("size").alias("size"))

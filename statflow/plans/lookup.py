@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from statflow.plans.durable import materialize
 
@@ -22,6 +24,14 @@ def _bytes(df: DataFrame):
     return total
 
 
+def local_table(spark: SparkSession, rows: Sequence[Sequence[int]], schema: str) -> DataFrame:
+    """A few rows of numbers as a table. They go to the JVM as Arrow, so no executor starts Python workers to read them,
+    which would stay beside those of the functions."""
+    kind = StructType.fromDDL(schema)
+    columns = [pa.array([r[k] for r in rows], {"int": pa.int32(), "bigint": pa.int64()}[f.dataType.simpleString()]) for k, f in enumerate(kind)]
+    return spark.createDataFrame(pa.table(columns, names=kind.names), kind)
+
+
 def join_lookup(big: DataFrame, lookup: DataFrame, on: str | Sequence[str], salt_by: str, how: str = "left", limit: int = BROADCAST_BYTES) -> DataFrame:
     """``big`` joined with ``lookup`` (unique on ``on``). The lookup is written and measured: up to
     ``limit`` bytes it is broadcast. Beyond, the rows of ``big`` are counted by key (``big`` is read
